@@ -1,0 +1,35 @@
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+from voxmill.llm import encoding
+from voxmill.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def reference(texts):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_document_has_the_ids_of_the_vocabulary(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r.ids for r in queries()["p7_ids"](spark, SF).collect()}
+    assert got == dict(zip([r.doc_id for r in docs], reference([r.text or "" for r in docs])))
+
+
+def test_slices_of_any_size_join_to_the_ids_of_the_whole():
+    text = "We're  here,\n\n 12 times<|endoftext|> … été  　x 🙂🙂\r\n\tаудио 3.5dB it's  " * 4 + "a" * 90
+    encode = encoding.encoder()
+    want = reference([text])[0]
+    assert all(encoding.encode_text(text, encode, size) == want for size in (1, 2, 3, 7, 31, 64, 200))
+
+
+def test_join_is_associative_and_has_a_neutral_part():
+    encode = encoding.encoder()
+    a, b, c = (encoding.lift(t, encode) for t in ("one two th", "ree", "four 5 six"))
+    ids = lambda p: encoding.lower(p, encode)
+    left, right = encoding.join(encoding.join(a, b, encode), c, encode), encoding.join(a, encoding.join(b, c, encode), encode)
+    assert ids(left) == ids(right) == reference(["one two threefour 5 six"])[0]
+    assert encoding.join("", a, encode) == a == encoding.join(a, "", encode)

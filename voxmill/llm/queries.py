@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import cutoffs, percentiles
+from voxmill.llm import cutoffs, encoding, percentiles
 
 SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
@@ -35,8 +35,12 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.summary_percentiles(percentiles.combine_summaries(daily)).withColumn("value", F.round("value", 9))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.token_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p7_ids)}
 
 
 _COUNTED = f"""counted AS (

@@ -1,0 +1,35 @@
+from voxmill.llm import leaks
+from voxmill.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i}" for i in range(30))
+
+
+def test_found_are_the_pairs_that_share_twelve_words_or_a_whole_short_item(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()
+    joined = {r.doc_id: f" {' '.join(leaks.words(r.text))} " for r in docs}
+    want = set()
+    for r in items:
+        w = leaks.words(r.text)
+        n = min(12, len(w))
+        runs = {f" {' '.join(w[i : i + n])} " for i in range(len(w) - n + 1)} if n else ()
+        want |= {(d, r.item_id) for d, t in joined.items() if any(x in t for x in runs)}
+    got = [tuple(r) for r in queries()["p8_found"](spark, SF).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+def test_borders():
+    index = leaks.Index([(1, LONG), (2, "Short, item!"), (3, ""), (4, None)])
+    part = lambda a, b: " ".join(LONG.split()[a:b])
+    texts = [part(3, 15), part(3, 14), f"{part(0, 6)} x {part(6, 12)}", None, "", "a SHORT\nitem", "short", "item short", part(18, 30).upper()]
+    assert index.found(texts) == [(0, 1), (5, 2), (8, 1)]
+    # passages do not run on into the next text
+    assert index.found([part(0, 6), part(6, 12), "short", "item"]) == []
+
+
+def test_wrong_words_are_allowed_when_asked_for():
+    w = LONG.split()
+    assert leaks.Index([(1, LONG)], errors=1).found([" ".join([*w[:5], "x", *w[6:12]]), " ".join([*w[:5], "x", "x", *w[7:12]])]) == [(0, 1)]
+    assert leaks.distance([1, 2, 3, 4], [9, 1, 2, 4, 9]) == 1
+    assert leaks.distance([1, 2, 3], [7, 1, 2, 3]) == 0

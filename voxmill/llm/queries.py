@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import cutoffs, encoding, percentiles
+from voxmill.llm import cutoffs, encoding, leaks, percentiles
 
 SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
@@ -39,8 +39,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p7_ids, p8_found)}
 
 
 _COUNTED = f"""counted AS (

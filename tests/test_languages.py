@@ -1,0 +1,54 @@
+import pytest
+
+from voxmill.llm import languages
+from voxmill.llm.queries import queries
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return languages.fitted(spark.read.parquet(f"{SF}/metadata_extended.parquet"))
+
+
+def langs(text, model):
+    return [s[0] for s in languages.segments(text, model)]
+
+
+def test_one_language(model):
+    assert langs("O nosso editor corta o rótulo errado até que o nível fique estável.", model) == ["pt"]
+    assert langs("Nuestro editor recorta la etiqueta equivocada en la sala más pequeña", model) == ["es"]
+    assert langs("Модераторка позначає перелік запитань з великим терпінням.", model) == ["uk"]
+    assert langs("Переводчица проверяет список вопросов", model) == ["ru"]
+    assert langs(None, model) == langs("... 12 34", model) == []
+
+
+def test_change_of_language_with_and_without_punctuation(model):
+    assert langs("новая помощница сравнивает неверную метку не повышая голоса on the backup track our editor softens the third sentence", model) == ["ru", "en"]
+    assert langs("Переводчица заменяет первую строку.\nМодераторка вирізає шумний фрагмент у маленькій кімнаті.", model) == ["ru", "uk"]
+    text = "the guest keeps the rough draft. die Besucherin wiederholt die Küchengeschichte. el locutor olvida el parte del tiempo"
+    got = languages.segments(text, model)
+    assert [s[0] for s in got] == ["en", "de", "es"] and text[got[1][2] : got[1][3]] == "die Besucherin wiederholt die Küchengeschichte"
+    assert all(0.9 < s[4] <= 1 for s in got)
+
+
+def test_a_borrowed_word_is_no_language(model):
+    assert langs("The guest keeps the Küchengeschichte and the weather report without raising the voice", model) == ["en"]
+
+
+def test_labels(model):
+    found = lambda label, text: languages.wrong_label(label, languages.segments(text, model))
+    text = "The guest keeps the rough draft"
+    assert [found(x, text) for x in ("en", "EN", "en-GB", "eng", " English ")] == [[]] * 5
+    assert [found(x, text) for x in (None, "", " ", "auto", "n/a", "de")] == [["en"]] * 6
+    assert found("en", f"{text}. Die Besucherin wiederholt die Küchengeschichte") == ["de", "en"]
+    assert found("de", "the guest keeps") == []
+
+
+def test_queries(spark):
+    rows = {r.row_id: r for r in spark.read.parquet(f"{SF}/metadata_extended.parquet").select("row_id", "text", "lang").collect()}
+    got = [tuple(r) for r in queries()["p6_found"](spark, SF).collect()]
+    assert len(got) == len(set(got))
+    unlabelled = {k for k, r in rows.items() if languages.label_language(r.lang) is None and sum(any(c.isalpha() for c in w[0]) for w in languages.spans(r.text or "")) >= 4}
+    assert unlabelled and unlabelled <= {k for k, _ in got}
+    assert {r.row_id for r in queries()["p6_segments"](spark, SF).collect()} == {k for k, r in rows.items() if any(c.isalpha() for c in r.text or "")}

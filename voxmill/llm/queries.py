@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import cutoffs, encoding, leaks, percentiles, repetition
+from voxmill.llm import cutoffs, encoding, languages, leaks, percentiles, repetition
 
 SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
@@ -43,6 +43,14 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, sf_dir, "metadata_extended")).withColumn("share", F.round("share", 6))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.mislabelled(table(spark, sf_dir, "metadata_extended"))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(table(spark, sf_dir, "metadata_extended")).withColumn("confidence", F.round("confidence", 6))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.token_ids(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p6_found, p6_segments, p7_ids, p8_found)}
 
 
 _COUNTED = f"""counted AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxmill.durable import durable, sized_join
-from voxmill.functions.text import path_key
+from voxmill.functions.text import is_blank, path_key
 
 #: A path that more rows than this refer to is split over SPLITS tasks.
 HOT_ROWS = 500_000
@@ -14,7 +14,7 @@ SPLITS = 16
 
 
 def _refs(ref_table: str, df: DataFrame) -> DataFrame:
-    return df.select(F.lit(ref_table).alias("ref_table"), F.col("row_id").cast("bigint").alias("row_id"), path_key(F.col("file")).alias("path"), F.col("committed_at"))
+    return df.where(~is_blank(F.col("file"))).select(F.lit(ref_table).alias("ref_table"), F.col("row_id").cast("bigint").alias("row_id"), path_key(F.col("file")).alias("path"), F.col("committed_at"))
 
 
 def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -22,7 +22,7 @@ def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows:
 
     status is ``ok`` (the path has a row with deleted_at null and listed_at <= committed_at), ``late`` (such a row, but listed after
     committed_at), ``deleted`` (only deleted rows, one of them listed by then), or ``missing``. A null listed_at counts as never listed
-    by then, a null committed_at as before every listing. Repeated rows are each judged; an empty listing makes every row ``missing``.
+    by then, a null committed_at as before every listing. A file such as ``./``, of which no path is left, is ``missing``. Repeated rows are each judged; an empty listing makes every row ``missing``.
 
     References and parent keys are co-partitioned and sorted by path, then merged as two sorted streams (a sort-merge join). A parent key
     is first reduced to its validity: since when a live row is listed, since when a deleted one. Paths with more than ``hot_rows``
@@ -32,14 +32,13 @@ def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows:
     for name, df in tables.items():
         one = _refs(name, df)
         refs = one if refs is None else refs.unionByName(one)
-    refs = refs.where(F.col("path").isNotNull())
     parents = (
         files.select(path_key(F.col("path")).alias("path"), "listed_at", "deleted_at")
         .where(F.col("path").isNotNull())
         .groupBy("path")
         .agg(F.min(F.when(F.col("deleted_at").isNull(), F.col("listed_at"))).alias("live_from"), F.min(F.when(F.col("deleted_at").isNotNull(), F.col("listed_at"))).alias("gone_from"))
     )
-    hot = durable(refs.groupBy("path").count().where(F.col("count") > hot_rows).select("path", F.lit(True).alias("hot")))
+    hot = durable(refs.where(F.col("path").isNotNull()).groupBy("path").count().where(F.col("count") > hot_rows).select("path", F.lit(True).alias("hot")))
     if hot.isEmpty():
         joined = refs.join(parents.hint("merge"), "path", "left")
     else:

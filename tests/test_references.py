@@ -16,3 +16,19 @@ def test_a_file_that_normalises_to_nothing_is_an_orphan(spark):
     for hot in (references.HOT_ROWS, 0):
         got = {r.row_id: r.status for r in references.checked_references({"metadata": rows}, files, hot).collect()}
         assert got == {1: "missing", 2: "missing", 3: "missing", 7: "ok"}
+
+
+def test_validity_follows_the_interval_that_holds_or_precedes_the_commit(spark):
+    rows = spark.createDataFrame([(1, "a", day(5)), (2, "b", day(5)), (3, "c", day(5)), (4, "d", day(5)), (5, "e", day(5)), (6, "f", day(5)), (7, "a", None), (8, "g", day(5)), (9, "h", day(5))], AT)
+    files = spark.createDataFrame(
+        [("a", day(1), day(9)), ("b", day(1), day(3)), ("c", day(1), day(7)), ("c", day(8), None), ("d", day(6), None), ("f", day(1), None), ("g", None, None), ("h", day(1), day(3)), ("h", day(8), None)], FILES
+    )
+    got = {r.row_id: r.validity for r in references.checked_references({"metadata": rows}, files).collect()}
+    assert got == {1: "deleted_later", 2: "deleted", 3: "deleted_later", 4: "late", 5: "missing", 6: "ok", 7: "late", 8: "missing", 9: "deleted"}
+
+
+def test_both_reports_count_the_same_rows(spark):
+    from voxmill.queries import queries
+
+    a, b = ({(r.ref_table, r.month): (r.refs, r.orphans) for r in queries()[q](spark, "/root/testdata/sf0.001").collect()} for q in ("p3_report", "p3_validity"))
+    assert a == b and a

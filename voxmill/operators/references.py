@@ -18,12 +18,16 @@ def _refs(ref_table: str, df: DataFrame) -> DataFrame:
 
 
 def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``ref_table, row_id, path, committed_at, status`` of every row whose file isn't null or blank.
+    """``ref_table, row_id, path, committed_at, status, validity`` of every row whose file isn't null or blank.
 
     status is ``ok`` (the path has a row with deleted_at null and listed_at <= committed_at), ``late`` (such a row, but listed after
     committed_at), ``deleted`` (only deleted rows, one of them listed by then), or ``missing``. A null listed_at counts as never listed
     by then, a null committed_at as before every listing. A file such as ``./``, of which no path is left, is ``missing``. Repeated rows are each judged; an empty listing makes every row ``missing``.
 
+    validity tells the same by the intervals [listed_at, deleted_at) of the path: ``ok``; ``deleted_later`` (an interval holds committed_at,
+    but the file has been deleted since); ``deleted`` (an interval lies before committed_at, none holds it); ``late`` (all begin after it);
+    ``missing`` (none). An interval that does not end after it begins holds nothing.
+
     References and parent keys are co-partitioned and sorted by path, then merged as two sorted streams (a sort-merge join). A parent key
     is first reduced to its validity: since when a live row is listed, since when a deleted one. Paths with more than ``hot_rows``
     references, found by a count that is combined before its shuffle, are split over SPLITS partitions with a copy of their parent each.
@@ -36,7 +40,11 @@ def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows:
         files.select(path_key(F.col("path")).alias("path"), "listed_at", "deleted_at")
         .where(F.col("path").isNotNull())
         .groupBy("path")
-        .agg(F.min(F.when(F.col("deleted_at").isNull(), F.col("listed_at"))).alias("live_from"), F.min(F.when(F.col("deleted_at").isNotNull(), F.col("listed_at"))).alias("gone_from"))
+        .agg(
+            F.min(F.when(F.col("deleted_at").isNull(), F.col("listed_at"))).alias("live_from"),
+            F.min(F.when(F.col("deleted_at").isNotNull(), F.col("listed_at"))).alias("gone_from"),
+            F.collect_set(F.when(F.col("listed_at").isNotNull(), F.struct("listed_at", "deleted_at"))).alias("intervals"),
+        )
     )
     hot = durable(refs.where(F.col("path").isNotNull()).groupBy("path").count().where(F.col("count") > hot_rows).select("path", F.lit(True).alias("hot")))
     if hot.isEmpty():
@@ -53,7 +61,15 @@ def checked_references(tables: dict[str, DataFrame], files: DataFrame, hot_rows:
         .when(F.col("gone_from") <= F.col("committed_at"), "deleted")
         .otherwise("missing")
     )
-    return joined.select("ref_table", "row_id", "path", "committed_at", status.alias("status"))
+    at = F.col("committed_at")
+    validity = (
+        F.when(F.col("live_from") <= at, "ok")
+        .when(F.exists("intervals", lambda x: (x["listed_at"] <= at) & (x["deleted_at"] > at)), "deleted_later")
+        .when(F.exists("intervals", lambda x: x["listed_at"] <= at), "deleted")
+        .when(F.size("intervals") > 0, "late")
+        .otherwise("missing")
+    )
+    return joined.select("ref_table", "row_id", "path", "committed_at", status.alias("status"), validity.alias("validity"))
 
 
 def orphans(tables: dict[str, DataFrame], files: DataFrame) -> DataFrame:
@@ -66,3 +82,10 @@ def orphan_report(tables: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     judged = checked_references(tables, files).withColumn("month", F.coalesce(F.date_format("committed_at", "yyyy-MM"), F.lit("unknown")))
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return judged.groupBy("ref_table", "month").agg(F.count("*").alias("refs"), F.count_if(F.col("status") != "ok").alias("orphans"), n("missing"), n("deleted"), n("late"))
+
+
+def validity_report(tables: dict[str, DataFrame], files: DataFrame) -> DataFrame:
+    """As orphan_report, by validity: what existed at committed_at and was deleted afterwards is told from what was deleted before."""
+    judged = checked_references(tables, files).withColumn("month", F.coalesce(F.date_format("committed_at", "yyyy-MM"), F.lit("unknown")))
+    n = lambda s: F.count_if(F.col("validity") == s).alias(s)
+    return judged.groupBy("ref_table", "month").agg(F.count("*").alias("refs"), F.count_if(F.col("validity") != "ok").alias("orphans"), n("missing"), n("deleted"), n("deleted_later"), n("late"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.llm import cutoffs, encoding, languages, leaks, percentiles, repetition
+from voxmill.llm import cutoffs, encoding, languages, leaks, percentiles, personal, repetition
 
 SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
 
@@ -59,8 +59,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_pieces(table(spark, sf_dir, "documents"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p6_found, p6_segments, p7_ids, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
 
 
 _COUNTED = f"""counted AS (

@@ -43,6 +43,14 @@ def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repeated_shares(table(spark, sf_dir, "metadata_extended")).withColumn("share", F.round("share", 6))
 
 
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.scored_rows(table(spark, sf_dir, "metadata_extended")).withColumn("probability", F.round("probability", 6))
+
+
+def p4_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.classifier_report(table(spark, sf_dir, "metadata_extended"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.mislabelled(table(spark, sf_dir, "metadata_extended"))
 
@@ -68,7 +76,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p4_scores, p4_classifier, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
 
 
 _COUNTED = f"""counted AS (

@@ -28,8 +28,27 @@ def test_slices_of_any_size_join_to_the_ids_of_the_whole():
 
 def test_join_is_associative_and_has_a_neutral_part():
     encode = encoding.encoder()
-    a, b, c = (encoding.lift(t, encode) for t in ("one two th", "ree", "four 5 six"))
-    ids = lambda p: encoding.lower(p, encode)
-    left, right = encoding.join(encoding.join(a, b, encode), c, encode), encoding.join(a, encoding.join(b, c, encode), encode)
-    assert ids(left) == ids(right) == reference(["one two threefour 5 six"])[0]
-    assert encoding.join("", a, encode) == a == encoding.join(a, "", encode)
+    part = lambda t: encoding.Part(t, encode(t))
+    for texts in (("one two th", "ree", "four 5 six"), ("a" * 300, "b" * 77, " c"), ("x\n", "\n\n", "y 12"), ("don", "'", "t 🙂")):
+        a, b, c = map(part, texts)
+        for window in (1, 2, 32):
+            join = lambda x, y: encoding.join(x, y, encode, window)  # noqa: E731, B023
+            assert join(join(a, b), c) == join(a, join(b, c)) == part("".join(texts))
+    assert encoding.join(part(""), a, encode) == a == encoding.join(a, part(""), encode)
+
+
+def test_one_very_long_run_without_a_cut_and_the_way_back(spark):
+    encode = encoding.encoder()
+    for text in ("=" * 40_000, "ab" * 20_000 + " c", "слово " * 9_000):
+        ids = encoding.encode_text(text, encode, 4_096)
+        assert ids == reference([text])[0] and encoding.decode(ids) == text
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    back = {r.doc_id: r.text for r in encoding.texts_of(encoding.token_ids(docs)).collect()}
+    assert back == {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a b", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id bigint, text string, ids string")
+    got = sorted((r.doc_id or 0, r.ids) for r in encoding.token_ids(df).collect())
+    assert got == [(0, reference(["a b"])[0]), (1, []), (2, []), (3, reference(["a b"])[0]), (3, reference(["a b"])[0])]
+    assert encoding.token_ids(df.where("false")).count() == 0

@@ -52,3 +52,31 @@ def test_queries(spark):
     unlabelled = {k for k, r in rows.items() if languages.label_language(r.lang) is None and sum(any(c.isalpha() for c in w[0]) for w in languages.spans(r.text or "")) >= 4}
     assert unlabelled and unlabelled <= {k for k, _ in got}
     assert {r.row_id for r in queries()["p6_segments"](spark, SF).collect()} == {k for k, r in rows.items() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_proportions_and_the_set_of_languages(model):
+    import numpy as np
+
+    text = "the guest keeps the rough draft. die Besucherin wiederholt die Küchengeschichte. el locutor olvida el parte del tiempo"
+    v = np.stack([model.score(w) for w, *_ in languages.spans(text)])
+    langs, share = languages.language_set(v)
+    assert {languages.LANGUAGES[k] for k in langs} == {"en", "de", "es"}
+    assert abs(share.sum() - 1) < 1e-9 and all(0.15 < s < 0.6 for s in share)
+    one = np.stack([model.score(w) for w, *_ in languages.spans("O nosso editor corta o rótulo errado")])
+    langs, share = languages.language_set(one)
+    assert [languages.LANGUAGES[k] for k in langs] == ["pt"] and share.tolist() == [1.0]
+    # adding a language never makes the mixture less likely by much, and EM's proportions follow the words
+    share, likelihood = languages.mixture(v, list(range(7)))
+    assert abs(share.sum() - 1) < 1e-9 and likelihood <= v.max(1).sum() + 1e-9
+
+
+def test_odd_tables(spark, model):
+    odd = [(1, None, "en", "x"), (2, "", "en", "x"), (3, "12 34 ...", None, "x"), (4, "The guest keeps the rough draft " * 20_000, "de", "x"), (4, "The guest keeps the rough draft " * 20_000, "de", "x"), (None, "The guest keeps the rough draft", None, "x")]
+    df = spark.createDataFrame(odd, "row_id bigint, text string, lang string, words string")
+    rows = df.select("row_id", "text", "lang")
+    from functools import partial
+
+    got = rows.mapInArrow(partial(languages._found, model=model), "row_id bigint, lang string").collect()
+    assert sorted((r.row_id or 0, r.lang) for r in got) == [(0, "en"), (4, "en"), (4, "en")]
+    none = df.where("false")
+    assert languages.mislabelled(none).count() == languages.language_segments(none).count() == 0

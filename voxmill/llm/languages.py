@@ -1,4 +1,9 @@
-"""Problem 6: the languages of a text and of its segments, and the labels that do not name them."""
+"""Problem 6: the languages of a text and of its segments, and the labels that do not name them.
+
+A text is a mixture of languages. Its words have likelihoods by word and character n-gram models; expectation-maximisation estimates the
+proportions of the languages, and languages are added to the set while the likelihood gains more than the penalty. The segments are then
+the likeliest path through the languages of the set, in which a change costs something.
+"""
 
 from __future__ import annotations
 
@@ -32,6 +37,8 @@ BACKOFF = 0.1
 #: What a word can say against a language at most, and what a change of language costs after punctuation and elsewhere (nats).
 MOST = 6.0
 COST_BREAK, COST = 7.0, 9.0
+#: What a further language must gain in likelihood (nats), besides half the logarithm of the number of words; rounds of EM over the proportions of a text.
+PENALTY, MIXTURE_ROUNDS = 1.0, 12
 #: Texts judged at a time within a batch.
 ROWS = 512
 
@@ -111,22 +118,52 @@ def fit(rows: list[tuple[str | None, str]]) -> Model:
     return Model(list(vocabulary), counts)
 
 
+def mixture(v: np.ndarray, langs: list[int]) -> tuple[np.ndarray, float]:
+    """Proportions of the languages in a text, by EM over its words' log likelihoods, and the log likelihood of that mixture."""
+    odds = np.exp(v[:, langs])
+    share = np.full(len(langs), 1 / len(langs))
+    for _ in range(MIXTURE_ROUNDS):
+        mixed = odds * share
+        share = (mixed / mixed.sum(1, keepdims=True)).mean(0)
+    return share, float(np.log((odds * share).sum(1)).sum())
+
+
+def language_set(v: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The languages of a text and their proportions: the likeliest one, and others while the penalised likelihood of the mixture grows."""
+    langs = [int(v.sum(0).argmax())]
+    share, best = np.ones(1), float(v[:, langs[0]].sum())
+    least = PENALTY + 0.5 * math.log(len(v))
+    while len(langs) < len(LANGUAGES):
+        # what a language could gain at most
+        room = np.maximum(v - v[:, langs].max(1, keepdims=True), 0).sum(0)
+        tried = [(*mixture(v, [*langs, k]), k) for k in np.flatnonzero(room > least).tolist() if k not in langs]
+        top = max(tried, key=lambda x: x[1], default=None)
+        if top is None or top[1] - best <= least:
+            break
+        share, best = top[0], top[1]
+        langs.append(top[2])
+    return langs, share
+
+
 def best_path(v: np.ndarray, broken: list[bool]) -> list[int]:
-    """The language of each word, such that likelihood less the costs of changes is highest."""
-    total = v.sum(0)
-    one = int(total.argmax())
-    if v.max(1).sum() - total[one] < COST_BREAK:
+    """The language of each word out of the text's set, such that likelihood less the costs of changes is highest."""
+    one = int(v.sum(0).argmax())
+    if v.max(1).sum() - v[:, one].sum() < COST_BREAK:
+        return [one] * len(v)
+    langs, _ = language_set(v)
+    if len(langs) == 1:
         return [one] * len(v)
-    state, back = v[0].copy(), []
-    for i in range(1, len(v)):
+    own = v[:, langs]
+    state, back = own[0].copy(), []
+    for i in range(1, len(own)):
         top = int(state.argmax())
         moved = state[top] - (COST_BREAK if broken[i] else COST)
         back.append((top, state < moved))
-        state = np.maximum(state, moved) + v[i]
+        state = np.maximum(state, moved) + own[i]
     path = [int(state.argmax())]
     for top, moves in reversed(back):
         path.append(top if moves[path[-1]] else path[-1])
-    return path[::-1]
+    return [langs[k] for k in reversed(path)]
 
 
 def segments(text: str | None, model: Model) -> list[tuple[str, int, int, int, float]]:

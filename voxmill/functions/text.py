@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,13 +44,34 @@ def ms_key(c: Column) -> Column:
 
 
 def language_or_null(c: Column) -> Column:
-    """A language setting; null where empty or ``auto``."""
-    return F.when(F.lower(F.trim(c)).isin("", "auto"), F.lit(None)).otherwise(F.trim(c))
+    """A language setting without surrounding white space; null where empty or ``auto``."""
+    return F.when(F.lower(trim_space(c)).isin("", "auto"), F.lit(None)).otherwise(trim_space(c))
 
 
 def truthy(c: Column) -> Column:
-    """True for 1, true and yes in any case."""
-    return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "yes"), F.lit(False))
+    """True for 1, true and yes in any case, without any white space."""
+    return F.coalesce(F.lower(c).isin("1", "true", "yes"), F.lit(False))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded as its binary value is (half to even on ties); NaN is ``nan``, null stays null."""
+
+    @F.pandas_udf("string")
+    def form(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else f"{v:.{digits}f}" for v in x.astype(object).tolist()], dtype=object)
+
+    # NaN stands for null in a pandas column of numbers
+    return F.when(c.isNotNull(), F.when(F.isnan(c), F.lit("nan")).otherwise(form(c.cast("double"))))
+
+
+def concat_quoted(path: Column) -> Column:
+    """A line of a concatenation list: the path in single quotes, those inside it escaped."""
+    return F.concat(F.lit("file '"), F.replace(path, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def signature(*parts: Column, sep: str = "|", length: int = 16) -> Column:
+    """The first ``length`` hex digits of the SHA-1 of the parts."""
+    return F.substring(F.sha1(F.concat_ws(sep, *[p.cast("string") for p in parts])), 1, length)
 
 
 def join_segments(parts: Column) -> Column:
@@ -78,7 +100,7 @@ def relative_path(c: Column, root: str) -> Column:
     """The path below ``root`` with forward slashes; null where it lies outside."""
     p = F.replace(c, F.lit("\\"), F.lit("/"))
     base = root.replace("\\", "/").rstrip("/") + "/"
-    return F.when(F.startswith(p, F.lit(base)), F.substring(p, len(base) + 1, 1_000_000))
+    return F.when(F.startswith(p, F.lit(base)), F.substr(p, F.lit(len(base) + 1)))
 
 
 def path_key(c: Column) -> Column:

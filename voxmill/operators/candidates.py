@@ -24,8 +24,8 @@ def _split(start: float, end: float, least: float, most: float) -> list[tuple[fl
     return [*out, (pos, end)] if end - pos >= least else out
 
 
-def chunk_candidates(rows: list[tuple[float, float, float]], others: np.ndarray, max_overlap: float, max_gap: float, least: float, most: float) -> list[tuple[float, float, float]]:
-    """``(start, end, similarity)`` of the clips of one chunk, of the ``(start, end, similarity)`` of its target segments and the starts and ends of all others."""
+def chunk_merged(rows: list[tuple[float, float, float]], others: np.ndarray, max_overlap: float, max_gap: float, most: float) -> list[tuple[float, float, float]]:
+    """``(start, end, similarity)`` of what one chunk's target segments merge to, of the ``(start, end, similarity)`` of these and the starts and ends of all others. The least similarity holds."""
     rows = sorted(rows)
     if rows:
         spoken = _overlap(*np.array(rows)[:, :2].T, others)
@@ -39,11 +39,31 @@ def chunk_candidates(rows: list[tuple[float, float, float]], others: np.ndarray,
                 cur[1:] = [max(cur[1], e), min(cur[2], sim)]
                 continue
         merged.append([s, e, sim])
-    return [(a, b, sim) for s, e, sim in merged for a, b in _split(s, e, least, most)]
+    return [(s, e, sim) for s, e, sim in merged]
+
+
+def chunk_candidates(rows: list[tuple[float, float, float]], others: np.ndarray, max_overlap: float, max_gap: float, least: float, most: float) -> list[tuple[float, float, float]]:
+    """As chunk_merged, split where longer than ``most``; rests shorter than ``least`` are dropped."""
+    return [(a, b, sim) for s, e, sim in chunk_merged(rows, others, max_overlap, max_gap, most) for a, b in _split(s, e, least, most)]
+
+
+def split(merged: DataFrame, least: float, most: float) -> DataFrame:
+    """Rows longer than ``most`` as slices of that length, and the rest where it is at least ``least``."""
+    span = F.col("end") - F.col("start")
+    full = F.greatest(F.lit(0), F.ceil(span / most) - 1).cast("int")
+    at = merged.withColumn("__full", full).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__full"))))
+    start = F.col("start") + F.col("__i") * most
+    sliced = at.withColumn("__s", start).withColumn("__e", F.when(F.col("__i") < F.col("__full"), start + most).otherwise(F.col("end")))
+    return sliced.where((F.col("__i") < F.col("__full")) | (F.col("__e") - F.col("__s") >= least)).withColumn("start", F.col("__s")).withColumn("end", F.col("__e")).drop("__full", "__i", "__s", "__e")
 
 
 def clip_candidates(segments: DataFrame, targets: list[str], max_overlap: float, max_gap: float, least: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
-    """``keys, start, end, similarity`` of the clips of segments ``keys, start, end, speaker, similarity``; one chunk is merged in one task.
+    """``keys, start, end, similarity`` of the clips of segments ``keys, start, end, speaker, similarity``: merged_segments, split."""
+    return split(merged_segments(segments, targets, max_overlap, max_gap, most, keys), least, most)
+
+
+def merged_segments(segments: DataFrame, targets: list[str], max_overlap: float, max_gap: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
+    """``keys, start, end, similarity`` of what the target segments merge to; one chunk, which the diarization window bounds, is merged in one task.
 
     Segments whose times are null or NaN don't count. Segments of speakers other than ``targets``, those without a speaker included, are foreign.
     """
@@ -51,9 +71,7 @@ def clip_candidates(segments: DataFrame, targets: list[str], max_overlap: float,
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["speaker"].isin(targets)
-        clips = chunk_candidates(
-            list(pdf.loc[own, ["start", "end", "similarity"]].itertuples(index=False, name=None)), pdf.loc[~own, ["start", "end"]].to_numpy(float), max_overlap, max_gap, least, most
-        )
+        clips = chunk_merged(list(pdf.loc[own, ["start", "end", "similarity"]].itertuples(index=False, name=None)), pdf.loc[~own, ["start", "end"]].to_numpy(float), max_overlap, max_gap, most)
         out = pd.DataFrame(clips, columns=["start", "end", "similarity"])
         for at, key in enumerate(k):
             out.insert(at, key, pdf[key].iloc[0])

@@ -2,107 +2,152 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxmill.functions.text import trim_space
+from voxmill.ordered import begins, handed_on, in_order, key_at, running
 
-#: Least width of a time shard.
+#: Width of a time shard.
 SHARD_MS = 60_000
-#: Times beyond this many seconds either way don't count (they can't be whole milliseconds in a double).
-MAX_SECONDS = 9.0e12
+#: Times beyond this many ms either way count as this: it is the range of whole ms that fit a BIGINT with room for a shard.
+MOST_MS = 9.0e18
 
 
 def clean_intervals(df: DataFrame, start: str = "start", end: str = "end", speaker: str = "speaker", keys: tuple[str, ...] = ("source_id", "chunk_idx")) -> DataFrame:
     """Rows that count, as ``keys, speaker, s, e`` in whole ms.
 
-    Null, NaN and infinite times, null and blank speakers and ends not after the start are left out. Null keys count as a key of their own.
+    Null and NaN times, null and blank speakers and ends not after the start are left out. Infinite times and times beyond the range of
+    BIGINT count as the end of that range. Null keys count as a key of their own.
     """
-    a, b = F.col(f"`{start}`"), F.col(f"`{end}`")
-    ok = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < MAX_SECONDS)
-    ms = lambda c: F.when(ok(c), F.round(c * 1000)).cast("bigint")
+    ms = lambda c: F.when(c.isNotNull() & ~F.isnan(c), F.greatest(F.lit(-MOST_MS), F.least(F.lit(MOST_MS), F.round(c.cast("double") * 1000)))).cast("bigint")
     return (
-        df.select(*[F.col(f"`{k}`") for k in keys], F.upper(trim_space(F.col(f"`{speaker}`"))).alias("speaker"), ms(a).alias("s"), ms(b).alias("e"))
+        df.select(*[F.col(f"`{k}`") for k in keys], F.upper(trim_space(F.col(f"`{speaker}`"))).alias("speaker"), ms(F.col(f"`{start}`")).alias("s"), ms(F.col(f"`{end}`")).alias("e"))
         .where(F.col("speaker").isNotNull() & (F.col("speaker") != "") & F.col("s").isNotNull() & (F.col("e") > F.col("s")))
     )
 
 
-def shard_width(cleaned: DataFrame, least: int = SHARD_MS) -> int:
-    """Width of a time shard: at least ``least``, and such that the longest interval lies in 17 shards or fewer."""
-    longest = cleaned.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
-    width = least
-    while longest > 16 * width:
-        width *= 2
-    return width
+def merged_in_shards(df: DataFrame, keys: list[str], width: int = SHARD_MS) -> DataFrame:
+    """``keys, s, e``: coverage within time shards. An interval gives its part of the first and the last shard it lies in, and one row for all whole shards between, however many."""
+    shard_of = lambda c: F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
+    piece = lambda level, shard, s, e: F.struct(F.lit(level).alias("level"), shard.alias("shard"), s.cast("bigint").alias("s"), e.cast("bigint").alias("e"))
+    a, b = F.col("__a"), F.col("__b")
+    cut = F.array_compact(
+        F.array(
+            piece(0, a, F.col("s"), F.least(F.col("e"), (a + 1) * width)),
+            F.when(b > a, piece(0, b, b * width, F.col("e"))),
+            F.when(b > a + 1, piece(1, a + 1, (a + 1) * width, b * width)),
+        )
+    )
+    pieces = (
+        df.withColumn("__a", shard_of(F.col("s")))
+        .withColumn("__b", shard_of(F.col("e") - 1))
+        .select(*keys, F.explode(cut).alias("x"))
+        .groupBy(*keys, "x.level", "x.shard", "x.s")
+        .agg(F.max("x.e").alias("e"))
+    )
+    inside = W.partitionBy(*keys, "level", "shard").orderBy("s")
+    reach = F.max("e").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    fresh = pieces.withColumn("__new", F.when(F.col("s") <= reach, 0).otherwise(1))
+    return fresh.withColumn("__island", F.sum("__new").over(inside)).groupBy(*keys, "level", "shard", "__island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
+
+
+class _Coverage:
+    """Coverage of sorted rows ``keys, s, e``: the open period of the group at hand and what is finished."""
+
+    def __init__(self, keys: list[str], state: tuple[tuple, tuple] | None = None):
+        self.keys, self.group, self.open = keys, *(state or (None, None))
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array | tuple, np.ndarray, np.ndarray]]:
+        """Yields ``kind, rows of the batch that name the group (or the group itself), starts, ends`` of what a batch finishes."""
+        s, e = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("s", "e"))
+        fresh = begins(batch, self.keys)
+        goes_on = self.group is not None and self.group == key_at(batch, self.keys, 0)
+        top = running(e, fresh)
+        before = np.empty_like(top)
+        before[1:] = top[:-1]
+        first_group = int(fresh[1:].argmax()) + 1 if fresh[1:].any() else len(s)
+        if goes_on:
+            # what was handed over lies before the first group
+            top[:first_group] = np.maximum(top[:first_group], self.open[1])
+            before[0] = self.open[1]
+            before[1:first_group] = top[: first_group - 1]
+            fresh[0] = False
+        new = fresh | (s > before)
+        at = np.flatnonzero(new)
+        ends = top[np.append(at[1:], len(s)) - 1]
+        gaps = at[~fresh[at]]
+        yield "gap", gaps, before[gaps], s[gaps]
+        if len(at):
+            if self.group is not None:
+                last = top[at[0] - 1] if goes_on and at[0] > 0 else self.open[1]
+                yield "period", self.group, np.array([self.open[0]]), np.array([last])
+            yield "period", at[:-1], s[at[:-1]], ends[:-1]
+            self.group, self.open = key_at(batch, self.keys, int(at[-1])), (int(s[at[-1]]), int(ends[-1]))
+        else:
+            self.open = (self.open[0], int(top[-1]))
+
+
+def _states(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row per partition: its first group, its last one and the open period of that."""
+    scan, first = _Coverage(keys), None
+    for b in batches:
+        if b.num_rows:
+            first = first or key_at(b, keys, 0)
+            for _ in scan.add(b):
+                pass
+            types = [b.schema.field(k).type for k in keys]
+    if first:
+        row = [TaskContext.get().partitionId(), *first, *scan.group, *scan.open]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *types, *types, pa.int64(), pa.int64()])], names=["part", *(f"f_{k}" for k in keys), *(f"l_{k}" for k in keys), "s", "e"])
 
 
-def periods_and_gaps(df: DataFrame, keys: tuple[str, ...] = ("source_id", "chunk_idx", "speaker"), width: int | None = None) -> DataFrame:
+def _found(batches: Iterator[pa.RecordBatch], keys: list[str], given: dict, goes_on: set[int]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    scan, schema = _Coverage(keys, given.get(part)), None
+    named = lambda group, kind, a, b: pa.RecordBatch.from_arrays([*(pa.array([v] * len(a), schema.field(k).type) for k, v in zip(keys, group)), pa.array([kind] * len(a)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*keys, "kind", "start_ms", "end_ms"])
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        schema = batch.schema
+        for kind, rows, a, b in scan.add(batch):
+            if isinstance(rows, tuple):
+                yield named(rows, kind, a, b)
+            elif len(rows):
+                taken = batch.take(pa.array(rows))
+                own = [taken.column(schema.get_field_index(k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([kind] * len(rows)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*keys, "kind", "start_ms", "end_ms"])
+    if schema is not None and part not in goes_on:
+        yield named(scan.group, "period", [scan.open[0]], [scan.open[1]])
+
+
+def _put_before(handed: tuple, state: tuple) -> tuple:
+    """The open period of a partition that is all one group, after what it was handed: one with it where that reaches its start."""
+    return (handed[0], max(handed[1], state[1])) if handed[1] >= state[0] else state
+
+
+def periods_and_gaps(df: DataFrame, keys: tuple[str, ...] = ("source_id", "chunk_idx", "speaker"), width: int = SHARD_MS) -> DataFrame:
     """``keys, kind, start_ms, end_ms``: maximal covered periods and the gaps between neighbours, of rows ``keys, s, e`` (whole ms, s < e).
 
-    Two levels, so that an entity with any number of intervals is spread over tasks: intervals are clipped into time shards, of which
-    each (entity, shard) keeps one row per start at most (map-side combined) and is merged by itself. What touches no border of its shard
-    is final. Coverage that reaches a border, at most two rows per shard, is stitched with its neighbours and coalesced. Gaps inside a
-    shard come from its own periods, gaps across shards from the first start and last end of each shard. Repeated rows change nothing; an
-    empty table gives no rows.
+    Two levels, so that an entity with any number of intervals, however long, is spread over tasks: intervals are clipped into time shards of
+    fixed width and merged within them; the results are sorted into ranges of (entity, start), and each range stitches what touches, handing
+    its open period to the next (one row per range goes over the driver). Repeated rows change nothing; an empty table gives no rows.
     """
-    wide = width or shard_width(df)
     k = list(keys)
-    shard_of = lambda c: F.call_function("div", c - F.pmod(c, F.lit(wide)), F.lit(wide))
-    pieces = (
-        df.withColumn("shard", F.explode(F.sequence(shard_of(F.col("s")), shard_of(F.col("e") - 1))))
-        .withColumn("lo", F.col("shard") * wide)
-        .select(*k, "shard", F.greatest("s", "lo").alias("s"), F.least(F.col("e"), F.col("lo") + wide).alias("e"))
-        .groupBy(*k, "shard", "s")
-        .agg(F.max("e").alias("e"))
-    )
-    in_shard = W.partitionBy(*k, "shard").orderBy("s")
-    before = in_shard.rowsBetween(W.unboundedPreceding, -1)
-    starts = pieces.withColumn("reach", F.max("e").over(before)).withColumn("fresh", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), 1).otherwise(0))
-    local = (
-        starts.withColumn("island", F.sum("fresh").over(in_shard.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*k, "shard", "island")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max("reach").alias("_reach"), F.min(F.struct("s", "reach")).getField("reach").alias("prev"))
-        .drop("_reach")
-    )
-    lo = F.col("shard") * wide
-    local = local.withColumn("at_lo", F.col("s") == lo).withColumn("at_hi", F.col("e") == lo + wide)
-    # each row also tells its neighbours' summary, so that periods are merged once
-    kind = lambda name, s, e: F.struct(F.lit(name).alias("kind"), s.cast("bigint").alias("start_ms"), e.cast("bigint").alias("end_ms"))
-    inner = ~F.col("at_lo") & ~F.col("at_hi")
-    final = (
-        local.select(
-            *k,
-            F.filter(
-                F.array(
-                    F.when(inner, kind("period", F.col("s"), F.col("e"))),
-                    F.when(F.col("prev").isNotNull(), kind("gap", F.col("prev"), F.col("s"))),
-                ),
-                lambda x: x.isNotNull(),
-            ).alias("found"),
-        )
-        .select(*k, F.explode("found").alias("f"))
-        .select(*k, "f.kind", "f.start_ms", "f.end_ms")
-    )
-    # per shard: its first start and last end, and the one or two pieces that touch its borders
-    shards = local.groupBy(*k, "shard").agg(
-        F.min("s").alias("first"),
-        F.max("e").alias("last"),
-        F.collect_set(F.when(~inner, F.struct("s", "e"))).alias("edges"),
-    )
-    by_shard = W.partitionBy(*k).orderBy("shard")
-    shards = shards.withColumn("was", F.lag("last").over(by_shard))
-    across = shards.where(F.col("first") > F.col("was")).select(*k, F.lit("gap").alias("kind"), F.col("was").alias("start_ms"), F.col("first").alias("end_ms"))
-    edges = shards.select(*k, F.explode("edges").alias("x")).select(*k, "x.s", "x.e")
-    by_start = W.partitionBy(*k).orderBy("s")
-    stitched = (
-        edges.withColumn("fresh", F.when(F.col("s") <= F.lag("e").over(by_start), 0).otherwise(1))
-        .withColumn("island", F.sum("fresh").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*k, "island")
-        .agg(F.min("s").alias("start_ms"), F.max("e").alias("end_ms"))
-        .select(*k, F.lit("period").alias("kind"), "start_ms", "end_ms")
-    )
-    return final.unionByName(across).unionByName(stitched)
+    types = dict(df.dtypes)
+    names = [f"`{x}` {types[x]}" for x in k]
+    ordered = in_order(merged_in_shards(df, k, width), [*k, "s"])
+    schema = ", ".join(["part int", *(n.replace("`", "`f_", 1) for n in names), *(n.replace("`", "`l_", 1) for n in names), "s bigint", "e bigint"])
+    states = [(r[0], tuple(r[1 : 1 + len(k)]), tuple(r[1 + len(k) : 1 + 2 * len(k)]), tuple(r[-2:])) for r in ordered.mapInArrow(partial(_states, keys=k), schema).collect()]
+    given, goes_on = handed_on(states, _put_before)
+    return ordered.mapInArrow(partial(_found, keys=k, given=given, goes_on=goes_on), ", ".join([*names, "kind string", "start_ms bigint", "end_ms bigint"]))
 
 
 def speech_periods(segments: DataFrame) -> DataFrame:

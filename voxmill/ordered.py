@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +35,42 @@ def numbered(df: DataFrame, columns: list[str], name: str = "number", start: int
     ranges = df.sparkSession.createDataFrame(offsets, "__part bigint, __before bigint")
     begin = start if isinstance(start, Column) else F.lit(start)
     return placed.join(F.broadcast(ranges), "__part").withColumn(name, (F.col("__before") + F.col("__place") + begin).cast("bigint")).drop("__id", "__part", "__place", "__before")
+
+
+def begins(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Which rows of a sorted batch begin a group; the first one does."""
+    fresh = np.zeros(batch.num_rows, bool)
+    if batch.num_rows:
+        fresh[0] = True
+    for k in keys:
+        codes = batch.column(batch.schema.get_field_index(k)).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return fresh
+
+
+def key_at(batch: pa.RecordBatch, keys: list[str], row: int) -> tuple:
+    return tuple(batch.column(batch.schema.get_field_index(k))[row].as_py() for k in keys)
+
+
+def running(values: np.ndarray, fresh: np.ndarray, best: str = "max") -> np.ndarray:
+    """The highest (or lowest) value so far within each group."""
+    by = pd.Series(values).groupby(np.cumsum(fresh))
+    return (by.cummax() if best == "max" else by.cummin()).to_numpy()
+
+
+def handed_on(states: list[tuple[int, tuple, tuple, tuple]], merge: Callable[[tuple, tuple], tuple]) -> tuple[dict[int, tuple[tuple, tuple]], set[int]]:
+    """From ``(partition, first group, last group, state of the last group)`` of all partitions that have rows: what each of them is handed, ``(group, state)``, and those whose last group goes on.
+
+    There is one row per partition, so the driver can hold them. ``merge`` puts what is handed over before the state of a partition that is all one group.
+    """
+    given: dict[int, tuple[tuple, tuple]] = {}
+    goes_on: set[int] = set()
+    before: tuple[int, tuple, tuple] | None = None
+    for part, first, last, state in sorted(states):
+        if before and before[1] == first:
+            given[part] = (before[1], before[2])
+            goes_on.add(before[0])
+            if first == last:
+                state = merge(before[2], state)
+        before = (part, last, state)
+    return given, goes_on

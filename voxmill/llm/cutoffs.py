@@ -38,8 +38,8 @@ def score_cutoffs(counted: DataFrame, target: tuple[int, int] = TARGET, bins: in
     """``source, n, cutoff``: the highest score value of each source such that at least target of its n rows have that score or more.
 
     Iterative histogram refinement. Scores are counted per source into ``bins`` bins over [low, high]; the bin that holds the target rank
-    becomes the new range, its least and largest value the new ends; only rows within the ranges are counted again, until every range
-    is one value. A range loses at least one end in each round, so it ends; bins shrink 1024-fold a round. Counts are combined before the
+    becomes the new range, its least and largest value the new ends; only what lies within the ranges is counted again, until every range
+    is one value. After the first round that is a table of value counts about 1024 times smaller. A range loses at least one end in each round, so it ends; bins shrink 1024-fold a round. Counts are combined before the
     shuffle, so a source with a third of all rows sends at most ``bins`` rows per task. Ties count in full; sources of one row keep it.
     """
     b = F.least(F.lit(bins - 1), F.floor((F.col("score") - low) / (high - low) * bins)).cast("int")
@@ -47,11 +47,16 @@ def score_cutoffs(counted: DataFrame, target: tuple[int, int] = TARGET, bins: in
     state = durable(_narrow(binned, target))
     done = state.where(F.col("lo") == F.col("hi"))
     wide = state.where(F.col("lo") < F.col("hi"))
+    rest = None
     while not wide.isEmpty():
-        inside = sized_join(counted.select("source", "score"), wide, ["source"]).where(F.col("score").between(F.col("lo"), F.col("hi")))
+        if rest is None:
+            # the second and last read of all rows: what lies in the ranges, as counts of values
+            inside = sized_join(counted.select("source", "score"), wide, ["source"]).where(F.col("score").between(F.col("lo"), F.col("hi")))
+            rest = durable(inside.groupBy("source", "score").agg(F.count("*").alias("cnt")))
+        inside = sized_join(rest, wide, ["source"]).where(F.col("score").between(F.col("lo"), F.col("hi")))
         b = F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)).cast("int")
         binned = inside.groupBy("source", b.alias("bin")).agg(
-            F.count("*").alias("cnt"), F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.first("n").alias("n"), F.first("need").alias("need")
+            F.sum("cnt").alias("cnt"), F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.first("n").alias("n"), F.first("need").alias("need")
         )
         state = durable(_narrow(binned.withColumnsRenamed({"_lo": "lo", "_hi": "hi"})))
         done = done.unionByName(state.where(F.col("lo") == F.col("hi")))

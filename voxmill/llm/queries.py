@@ -7,15 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.dataset_queries import SPACES, table
 from voxmill.llm import cutoffs, encoding, languages, leaks, percentiles, personal, repetition
 
-SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoffs.kept_rows(table(spark, sf_dir, "metadata_extended"))
 
@@ -29,10 +23,24 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.exact_percentiles(values).withColumn("value", F.round("value", 9))
 
 
-def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _daily_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "metadata_extended").withColumn("day", F.to_date("committed_at"))
-    daily = percentiles.day_summaries(percentiles.long_values(rows, extra=("day",)))
-    return percentiles.summary_percentiles(percentiles.combine_summaries(daily)).withColumn("value", F.round("value", 9))
+    return percentiles.long_values(rows, extra=("day",))
+
+
+def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the runs of separate days, combined."""
+    runs = percentiles.value_counts(_daily_values(spark, sf_dir), ("day",))
+    return percentiles.percentiles_of_counts(percentiles.combined_counts(runs)).withColumn("value", F.round("value", 9))
+
+
+def p5_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the summaries of separate days, combined, and whether each is within its bound of the exact one."""
+    values = _daily_values(spark, sf_dir)
+    bounded = percentiles.summary_percentiles(percentiles.combine_summaries(percentiles.day_summaries(values)))
+    exact = percentiles.exact_percentiles(values).withColumnsRenamed({"value": "exact", "n": "exact_n"})
+    apart = F.when(F.col("value") == F.col("exact"), 0.0).otherwise(F.abs(F.col("value") - F.col("exact")))
+    return bounded.join(exact, ["source", "metric", "p"]).select("source", "metric", "p", "n", (apart <= F.col("bound")).alias("within"), (F.col("n") == F.col("exact_n")).alias("same_n"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +84,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p4_found, p4_shares, p4_scores, p4_classifier, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p5_bounded, p4_found, p4_shares, p4_scores, p4_classifier, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
 
 
 _COUNTED = f"""counted AS (
@@ -91,13 +99,18 @@ vals AS (
   UNION ALL SELECT s, 'speaker_similarity', speaker_similarity FROM src WHERE speaker_similarity IS NOT NULL AND NOT isnan(speaker_similarity))"""
 
 
+_P5 = f"""WITH {_VALUES}, q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p), o AS (
+    SELECT source, metric, value, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY source, metric) AS n FROM vals WINDOW w AS (PARTITION BY source, metric ORDER BY value)),
+    t AS (SELECT source, metric, p, n, p * (n - 1) AS h, max(value) FILTER (rk = floor(p * (n - 1))) AS a, max(value) FILTER (rk = ceil(p * (n - 1))) AS b FROM o, q GROUP BY source, metric, p, n)
+    SELECT source, metric, p::DOUBLE AS p, n, round(a + (b - a) * (h - floor(h)), 9) AS value FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_COUNTED} SELECT row_id FROM ranked JOIN cut USING (source) WHERE score >= cutoff",
         "p1_cutoffs": f"""WITH {_COUNTED} SELECT source, any_value(cut.n) AS n, any_value(cutoff) AS cutoff, count(*) AS kept, round(count(*) / any_value(cut.n), 6) AS kept_share
             FROM ranked JOIN cut USING (source) WHERE score >= cutoff GROUP BY source""",
-        "p5_percentiles": f"""WITH {_VALUES}, q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p), o AS (
-            SELECT source, metric, value, row_number() OVER w - 1 AS rk, count(*) OVER (PARTITION BY source, metric) AS n FROM vals WINDOW w AS (PARTITION BY source, metric ORDER BY value)),
-            t AS (SELECT source, metric, p, n, p * (n - 1) AS h, max(value) FILTER (rk = floor(p * (n - 1))) AS a, max(value) FILTER (rk = ceil(p * (n - 1))) AS b FROM o, q GROUP BY source, metric, p, n)
-            SELECT source, metric, p::DOUBLE AS p, n, round(a + (b - a) * (h - floor(h)), 9) AS value FROM t""",
+        "p5_percentiles": _P5,
+        "p5_combined": _P5,
+        "p5_bounded": f"SELECT source, metric, p, n, true AS within, true AS same_n FROM ({_P5})",
     }

@@ -30,7 +30,7 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.validity_report(*_reference_tables(spark, sf_dir))
+    return references.orphans(*_reference_tables(spark, sf_dir))
 
 
 SPACES = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]"
@@ -48,12 +48,15 @@ UNION ALL SELECT source_id, chunk_idx, speaker, 'gap', b, nxt FROM g WHERE nxt I
 
 _KEY = lambda c: rf"regexp_replace(regexp_replace(lower(regexp_replace({c}, '^{SPACES}+|{SPACES}+$', '', 'g')), '[\\/]+', '/', 'g'), '^(\./)+', '')"
 
+# each reference is held against the intervals of its path, one by one
 _P3 = f"""WITH refs AS (
-  SELECT 'metadata' AS ref_table, row_id, {_KEY('file')} AS path, committed_at FROM metadata
-  UNION ALL SELECT 'metadata_extended', row_id, {_KEY('file')}, committed_at FROM metadata_extended),
-par AS (SELECT {_KEY('path')} AS path, min(listed_at) FILTER (deleted_at IS NULL) AS live_from, min(listed_at) FILTER (deleted_at IS NOT NULL) AS gone_from FROM audio_files GROUP BY 1),
-j AS (SELECT r.*, CASE WHEN live_from <= committed_at THEN 'ok' WHEN live_from IS NOT NULL THEN 'late' WHEN gone_from <= committed_at THEN 'deleted' ELSE 'missing' END AS status
-  FROM refs r LEFT JOIN par USING (path) WHERE r.path <> '')"""
+  SELECT 'metadata' AS ref_table, row_id, {_KEY('file')} AS path, committed_at, file FROM metadata
+  UNION ALL SELECT 'metadata_extended', row_id, {_KEY('file')}, committed_at, file FROM metadata_extended),
+iv AS (SELECT {_KEY('path')} AS path, listed_at AS a, deleted_at AS b FROM audio_files WHERE listed_at IS NOT NULL AND {_KEY('path')} <> ''),
+pairs AS (SELECT r.ref_table, r.row_id, r.committed_at, iv.path IS NOT NULL AS listed, a <= committed_at AND b IS NULL AS live, a <= committed_at AND b > committed_at AS held, a <= committed_at AS was
+  FROM refs r LEFT JOIN iv ON r.path = iv.path WHERE regexp_replace(r.file, '^{SPACES}+|{SPACES}+$', '', 'g') <> ''),
+j AS (SELECT ref_table, row_id, any_value(committed_at) AS committed_at, CASE WHEN bool_or(live) THEN 'ok' WHEN bool_or(held) THEN 'deleted_later' WHEN bool_or(was) THEN 'deleted' WHEN bool_or(listed) THEN 'late' ELSE 'missing' END AS validity
+  FROM pairs GROUP BY ref_table, row_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -63,7 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dataset_queries.oracle_sql() | {
         "p2_found": _P2,
-        "p3_found": f"{_P3} SELECT ref_table, row_id FROM j WHERE status <> 'ok'",
-        "p3_report": f"""{_P3} SELECT ref_table, coalesce(strftime(committed_at, '%Y-%m'), 'unknown') AS month, count(*) AS refs, count(*) FILTER (status <> 'ok') AS orphans,
-            count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'late') AS late FROM j GROUP BY 1, 2""",
+        "p3_found": f"{_P3} SELECT ref_table, row_id FROM j WHERE validity <> 'ok'",
+        "p3_validity": f"{_P3} SELECT ref_table, row_id, validity FROM j WHERE validity <> 'ok'",
+        "p3_report": f"""{_P3} SELECT ref_table, coalesce(strftime(committed_at, '%Y-%m'), 'unknown') AS month, count(*) AS refs, count(*) FILTER (validity <> 'ok') AS orphans,
+            count(*) FILTER (validity = 'deleted_later') AS deleted_later, count(*) FILTER (validity = 'deleted') AS deleted, count(*) FILTER (validity = 'late') AS late, count(*) FILTER (validity = 'missing') AS missing FROM j GROUP BY 1, 2""",
     }

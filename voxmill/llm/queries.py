@@ -72,6 +72,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also passages with a few words wrong."""
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -84,7 +89,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p5_bounded, p4_found, p4_shares, p4_scores, p4_classifier, p6_found, p6_segments, p7_ids, p8_found, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p5_percentiles, p5_combined, p5_bounded, p4_found, p4_shares, p4_scores, p4_classifier, p6_found, p6_segments, p7_ids, p8_found, p8_near, p9_found, p9_redacted)}
 
 
 _COUNTED = f"""counted AS (

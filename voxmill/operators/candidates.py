@@ -57,20 +57,21 @@ def split(merged: DataFrame, least: float, most: float) -> DataFrame:
     return sliced.where((F.col("__i") < F.col("__full")) | (F.col("__e") - F.col("__s") >= least)).withColumn("start", F.col("__s")).withColumn("end", F.col("__e")).drop("__full", "__i", "__s", "__e")
 
 
-def clip_candidates(segments: DataFrame, targets: list[str], max_overlap: float, max_gap: float, least: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
+def clip_candidates(segments: DataFrame, targets: list[str] | None, max_overlap: float, max_gap: float, least: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
     """``keys, start, end, similarity`` of the clips of segments ``keys, start, end, speaker, similarity``: merged_segments, split."""
     return split(merged_segments(segments, targets, max_overlap, max_gap, most, keys), least, most)
 
 
-def merged_segments(segments: DataFrame, targets: list[str], max_overlap: float, max_gap: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
+def merged_segments(segments: DataFrame, targets: list[str] | None, max_overlap: float, max_gap: float, most: float, keys: tuple[str, ...] = ("chunk_idx",)) -> DataFrame:
     """``keys, start, end, similarity`` of what the target segments merge to; one chunk, which the diarization window bounds, is merged in one task.
 
-    Segments whose times are null or NaN don't count. Segments of speakers other than ``targets``, those without a speaker included, are foreign.
+    Segments whose times are null or NaN don't count. Segments of speakers other than ``targets``, those without a speaker included, are foreign;
+    where ``targets`` is None the boolean column ``target`` tells which are not.
     """
     k = list(keys)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["speaker"].isin(targets)
+        own = pdf["target"] if targets is None else pdf["speaker"].isin(targets)
         clips = chunk_merged(list(pdf.loc[own, ["start", "end", "similarity"]].itertuples(index=False, name=None)), pdf.loc[~own, ["start", "end"]].to_numpy(float), max_overlap, max_gap, most)
         out = pd.DataFrame(clips, columns=["start", "end", "similarity"])
         for at, key in enumerate(k):

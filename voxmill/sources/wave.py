@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
+import subprocess
 import wave
 from collections.abc import Iterator
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from voxmill.operators.quality import CLIPPED, SILENT
 from voxmill.schemas import WAVE
 
 #: Frames of a row of the data source: longer files come as several rows.
@@ -107,6 +110,55 @@ def cut(source: str, target: str, start: float, end: float, rate: int | None = N
     return len(a) / (rate or own)
 
 
+def concatenated(source: str, target: str, pieces: list[tuple[float, float]]) -> float:
+    """Writes pieces ``(start, seconds)`` of a WAV file one after another, reading only these; returns the seconds written."""
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    written = 0
+    with wave.open(source, "rb") as w, wave.open(target, "wb") as out:
+        out.setparams(w.getparams())
+        rate, n = w.getframerate(), w.getnframes()
+        for start, seconds in pieces:
+            w.setpos(min(max(0, int(start * rate)), max(0, n - 1)))
+            data = w.readframes(max(1, int(seconds * rate)))
+            out.writeframes(data)
+            written += len(data) // (w.getsampwidth() * w.getnchannels())
+    return written / rate
+
+
+def measured(path: str) -> tuple[float, float, float, float, float, int]:
+    """``duration, rms_dbfs, peak_dbfs, clipping_ratio, silence_ratio, width`` of a WAV file, as quality.clip_stats has them."""
+    with wave.open(path, "rb") as w:
+        width, rate, frames = w.getsampwidth(), w.getframerate(), w.getnframes()
+        a = np.frombuffer(w.readframes(frames) if width == 2 else b"", "<i2").astype(np.int32)
+    if not a.size:
+        return 0.0, -120.0, -120.0, 1.0, 1.0, width
+    level = np.abs(a)
+    db = lambda x: 20 * float(np.log10(max(float(x), 1.0) / 32768.0))
+    return frames / rate, db(np.sqrt(np.mean(a.astype(np.float64) ** 2))), db(level.max()), float(np.mean(level >= CLIPPED)), float(np.mean(level <= SILENT)), width
+
+
+def measure_all(clips: DataFrame, path: str = "path") -> DataFrame:
+    """``clips`` with the statistics of their files."""
+    names = ["duration", "rms_dbfs", "peak_dbfs", "clipping_ratio", "silence_ratio", "width"]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame([measured(p) for p in pdf[path]], columns=names)], axis=1)
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in clips.dtypes), *(f"{n} double" for n in names[:-1]), "width int"])
+    return clips.mapInPandas(work, schema)
+
+
+def decoded(source: str, target: str, rate: int, channels: int) -> None:
+    """Writes any recording as PCM16 WAV by ffmpeg; RuntimeError where that is missing or fails."""
+    if not (tool := shutil.which("ffmpeg")):
+        raise RuntimeError("ffmpeg is needed for recordings that aren't WAV")
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    done = subprocess.run([tool, "-y", "-hide_banner", "-loglevel", "error", "-i", source, "-vn", "-ac", str(channels), "-ar", str(rate), "-c:a", "pcm_s16le", target], stdin=subprocess.DEVNULL, capture_output=True)
+    if done.returncode:
+        raise RuntimeError(done.stderr.decode(errors="replace")[-500:])
+
+
 def cut_all(clips: DataFrame) -> DataFrame:
     """``source, target, start, end`` cut by the executors, on a file system that all share: ``target, seconds``."""
 

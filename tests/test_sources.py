@@ -149,6 +149,22 @@ def test_models_by_a_fake_provider(spark):
     with pytest.raises(RuntimeError):
         models.NoModels().diarize("/x")
 
+    class Full(Fake):
+        def encode(self, path):
+            raise RuntimeError("CUDA out of memory. Tried to allocate" if path == "/big" else "file not found")
+
+    assert models.Fallback(Full(), Fake()).encode("/big") == [3.0, 4.0] and models.Fallback(Full(), Fake()).separate("/x") == "/x.vocals"
+    with pytest.raises(RuntimeError, match="file not found"):
+        models.Fallback(Full(), Fake()).encode("/x")
+
+
+def test_doctor_names_what_is_there():
+    from voxmill import doctor
+
+    found = doctor.capabilities()
+    assert found["pyspark"] and set(doctor.MODULES) <= set(found)
+    assert "python" in doctor.report()
+
 
 def test_a_restarted_stream_commits_each_clip_once(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Characters that Python's ``str.isspace`` accepts, as a Java character class.
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+# fixed values: texts of accelerator out-of-memory messages
+MEMORY_ERRORS = ["cuda out of memory", "out of memory", "cublas_status_alloc_failed", "cuda error: out of memory", "failed to allocate"]
 
 
 def trim_space(c: Column) -> Column:
@@ -88,10 +90,8 @@ def sanitize_spaces(c: Column) -> Column:
 def is_memory_error(c: Column) -> Column:
     """Messages of a device that ran out of memory."""
     m = F.lower(F.coalesce(c, F.lit("")))
-    # fixed values: texts of accelerator out-of-memory messages
-    needles = ["cuda out of memory", "out of memory", "cublas_status_alloc_failed", "cuda error: out of memory", "failed to allocate"]
     found = F.lit(False)
-    for n in needles:
+    for n in MEMORY_ERRORS:
         found = found | m.contains(n)
     return found
 

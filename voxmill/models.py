@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from voxmill.functions.text import MEMORY_ERRORS
 from voxmill.schemas import SEGMENTS
 
 
@@ -76,3 +77,30 @@ def transcribed(clips: DataFrame, provider: ModelProvider, language: str | None
             yield pd.DataFrame({"file": pdf["file"], "text": [" ".join(" ".join(x.strip() for x in provider.transcribe(p, language) if x.strip()).split()) for p in pdf["path"]]})
 
     return clips.select("file", "path").mapInPandas(work, "file string, text string")
+
+
+class Fallback:
+    """A provider that asks ``first`` and, where its device runs out of memory, ``second`` (the same models on the CPU). Other errors are passed on."""
+
+    def __init__(self, first: ModelProvider, second: ModelProvider):
+        self.first, self.second = first, second
+
+    def _ask(self, name: str, *args: object):
+        try:
+            return getattr(self.first, name)(*args)
+        except RuntimeError as e:
+            if not any(m in str(e).lower() for m in MEMORY_ERRORS):
+                raise
+            return getattr(self.second, name)(*args)
+
+    def diarize(self, path: str) -> list[tuple[float, float, str]]:
+        return self._ask("diarize", path)
+
+    def encode(self, path: str) -> list[float]:
+        return self._ask("encode", path)
+
+    def separate(self, path: str) -> str:
+        return self._ask("separate", path)
+
+    def transcribe(self, path: str, language: str | None) -> list[str]:
+        return self._ask("transcribe", path, language)

@@ -42,6 +42,10 @@ def test_one_very_long_run_without_a_cut_and_the_way_back(spark):
     for text in ("=" * 40_000, "ab" * 20_000 + " c", "слово " * 9_000):
         ids = encoding.encode_text(text, encode, 4_096)
         assert ids == reference([text])[0] and encoding.decode(ids) == text
+    # runs of spaces that the pattern itself could not take
+    for text in ("a" + " " * 12_000 + "b\n", "\n" * 11_000, "x " + "\u3000\n" * 6_000 + "y", " " * 10_000 + "\n1"):
+        assert encode(text) == encoding.encode_text(text, encode, 512) == reference([text])[0]
+    assert len(encoding.encode_text("a" + " " * 1_000_000 + "b", encode)) == 1_000_001
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     back = {r.doc_id: r.text for r in encoding.texts_of(encoding.token_ids(docs)).collect()}
     assert back == {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}

@@ -23,6 +23,9 @@ ROWS = 256
 #: A place where the pre-tokeniser always splits, whatever stands before and behind: a space or line feed after a letter or digit. Ids on its two sides do not depend on each other.
 CUT = re.compile(r"(?<=[^\W_])[ \n]")
 
+#: Runs of so many spaces are too long for the pre-tokeniser's pattern and are cut out before it: such a run is one piece, less its last character where text follows.
+SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 Encode = Callable[[str], list[int]]
 
 
@@ -39,7 +42,17 @@ def vocabulary(name: str = VOCABULARY, path: str | None = None):
 
 def encoder(name: str = VOCABULARY, path: str | None = None) -> Encode:
     """The ids of a text, in one piece."""
-    return vocabulary(name, path).encode_ordinary
+    v = vocabulary(name, path)
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for m in SPACE_RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += v.encode_ordinary(text[at : m.start()]) + v._encode_single_piece(text[m.start() : end].encode())
+            at = end
+        return out + v.encode_ordinary(text[at:]) if at else v.encode_ordinary(text)
+
+    return encode
 
 
 @dataclass(frozen=True)

@@ -155,6 +155,8 @@ def test_text_functions(spark):
     assert [one(spark, T.is_memory_error(L(x))) for x in ("CUDA out of memory. Tried", "file not found", None)] == [True, False, False]
     long = "/p/" + "x" * 1_200_000
     assert len(one(spark, T.relative_path(L(long), "/p"))) == 1_200_000 and one(spark, T.relative_path(L("/q/a"), "/p")) is None
+    for t in ("", " ", "a", " \u2003a b\x85\n", "\x1c\x1fa", "a" + " " * 300_000 + "b"):
+        assert one(spark, T.trim_space(L(t))) == t.strip() and one(spark, T.is_blank(L(t))) == (not t.strip())
     assert one(spark, T.concat_quoted(L("/a/it's"))) == "file '/a/it'\\''s'"
 
 

@@ -14,7 +14,8 @@ MEMORY_ERRORS = ["cuda out of memory", "out of memory", "cublas_status_alloc_fai
 
 def trim_space(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    # possessive, and only from the first character of a run: in proportion to the text whatever it holds
+    return F.regexp_replace(c, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
 
 
 def is_blank(c: Column) -> Column:

@@ -25,6 +25,10 @@ def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.n
     """Weights by full-batch adaptive gradients. Entry i says that row ``rows[i]`` has ``features[i]`` with ``values[i]``; labels are probabilities, one per row."""
     w, g2, b, b2 = np.zeros(size), np.full(size, 1e-8), 0.0, 1e-8
     n = len(labels)
+    # entries of the same row and feature are added up once
+    pairs, where = np.unique(rows.astype(np.int64) * size + features, return_inverse=True)
+    values = np.bincount(where, values, len(pairs))
+    rows, features = pairs // size, pairs % size
     for _ in range(rounds if n else 0):
         s = np.bincount(rows, w[features] * values, n) + b
         gap = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - labels

@@ -80,3 +80,36 @@ def test_odd_tables(spark, model):
     assert sorted((r.row_id or 0, r.lang) for r in got) == [(0, "en"), (4, "en"), (4, "en")]
     none = df.where("false")
     assert languages.mislabelled(none).count() == languages.language_segments(none).count() == 0
+
+
+def test_short_runs_go_to_their_longer_neighbour():
+    import random
+
+    def plain(path):
+        runs = []
+        for i, k in enumerate(path):
+            if runs and runs[-1][0] == k:
+                runs[-1][2] = i + 1
+            else:
+                runs.append([k, i, i + 1])
+        while len(runs) > 1:
+            at = min(range(len(runs)), key=lambda r: runs[r][2] - runs[r][1])
+            if runs[at][2] - runs[at][1] >= languages.LEAST_WORDS:
+                break
+            near = max((r for r in (at - 1, at + 1) if 0 <= r < len(runs)), key=lambda r: runs[r][2] - runs[r][1])
+            runs[near][1:] = [min(runs[at][1], runs[near][1]), max(runs[at][2], runs[near][2])]
+            del runs[at]
+            whole = []
+            for r in runs:
+                if whole and whole[-1][0] == r[0]:
+                    whole[-1][2] = r[2]
+                else:
+                    whole.append(r)
+            runs = whole
+        return [tuple(r) for r in runs]
+
+    rng = random.Random(2)
+    for _ in range(2000):
+        path = [k for _ in range(rng.randint(0, 9)) for k in [rng.randrange(3)] * rng.randint(1, 6)]
+        assert languages.joined_runs(path) == plain(path)
+    assert len(languages.joined_runs([i // 2 % 2 for i in range(300_000)])) == 1

@@ -7,6 +7,7 @@ the likeliest path through the languages of the set, in which a change costs som
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -166,6 +167,46 @@ def best_path(v: np.ndarray, broken: list[bool]) -> list[int]:
     return [langs[k] for k in reversed(path)]
 
 
+def joined_runs(path: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
+    """``(language, first word, word after the last)`` of the runs of a path. The shortest run of fewer than ``least`` words goes to its longer neighbour, the one before it if both are as long, until none is left or one run is all there is."""
+    runs: list[list[int]] = []
+    for i, k in enumerate(path):
+        if runs and runs[-1][0] == k:
+            runs[-1][2] = i + 1
+        else:
+            runs.append([k, i, i + 1])
+    before, after = list(range(-1, len(runs) - 1)), [*range(1, len(runs)), -1]
+    alive = [True] * len(runs)
+    short = [(r[2] - r[1], i) for i, r in enumerate(runs) if r[2] - r[1] < least]
+    heapq.heapify(short)
+
+    def take(i: int, j: int) -> None:
+        """Run i takes its neighbour j over."""
+        runs[i][1:] = [min(runs[i][1], runs[j][1]), max(runs[i][2], runs[j][2])]
+        alive[j] = False
+        a, b = before[j], after[j]
+        if a >= 0:
+            after[a] = b
+        if b >= 0:
+            before[b] = a
+
+    while short:
+        n, i = heapq.heappop(short)
+        if not alive[i] or runs[i][2] - runs[i][1] != n:
+            continue
+        near = [j for j in (before[i], after[i]) if j >= 0]
+        if not near:
+            break
+        j = max(near, key=lambda j: runs[j][2] - runs[j][1])
+        take(j, i)
+        for x in (before[j], after[j]):
+            if x >= 0 and runs[x][0] == runs[j][0]:
+                take(j, x)
+        if runs[j][2] - runs[j][1] < least:
+            heapq.heappush(short, (runs[j][2] - runs[j][1], j))
+    return sorted(((k, a, b) for (k, a, b), there in zip(runs, alive) if there), key=lambda r: r[1])
+
+
 def segments(text: str | None, model: Model) -> list[tuple[str, int, int, int, float]]:
     """``(lang, words, start, end, confidence)`` of the segments of a text; shorter ones than LEAST_WORDS belong to a neighbour, unless they are all there is."""
     found = spans(text or "")
@@ -173,23 +214,7 @@ def segments(text: str | None, model: Model) -> list[tuple[str, int, int, int, f
         return []
     v = np.stack([model.score(w) for w, *_ in found])
     path = best_path(v, [b for *_, b in found])
-    runs: list[list[int]] = []  # language, first word, word after the last
-    for i, k in enumerate(path):
-        if runs and runs[-1][0] == k:
-            runs[-1][2] = i + 1
-        else:
-            runs.append([k, i, i + 1])
-    while len(runs) > 1 and (at := min(range(len(runs)), key=lambda r: runs[r][2] - runs[r][1])) is not None and runs[at][2] - runs[at][1] < LEAST_WORDS:
-        near = max((r for r in (at - 1, at + 1) if 0 <= r < len(runs)), key=lambda r: runs[r][2] - runs[r][1])
-        runs[near][1:] = [min(runs[at][1], runs[near][1]), max(runs[at][2], runs[near][2])]
-        del runs[at]
-        joined: list[list[int]] = []
-        for r in runs:
-            if joined and joined[-1][0] == r[0]:
-                joined[-1][2] = r[2]
-            else:
-                joined.append(r)
-        runs = joined
+    runs = joined_runs(path)
     out = []
     for k, a, b in runs:
         t = v[a:b].sum(0)

@@ -64,10 +64,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dataset_queries.oracle_sql() | {
+    own = {
         "p2_found": _P2,
         "p3_found": f"{_P3} SELECT ref_table, row_id FROM j WHERE validity <> 'ok'",
         "p3_validity": f"{_P3} SELECT ref_table, row_id, validity FROM j WHERE validity <> 'ok'",
         "p3_report": f"""{_P3} SELECT ref_table, coalesce(strftime(committed_at, '%Y-%m'), 'unknown') AS month, count(*) AS refs, count(*) FILTER (validity <> 'ok') AS orphans,
             count(*) FILTER (validity = 'deleted_later') AS deleted_later, count(*) FILTER (validity = 'deleted') AS deleted, count(*) FILTER (validity = 'late') AS late, count(*) FILTER (validity = 'missing') AS missing FROM j GROUP BY 1, 2""",
     }
+    return dataset_queries.oracle_sql() | dataset_queries.nan_safe(own)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxmill.dataset_queries import SPACES, table
+from voxmill.dataset_queries import SPACES, nan_safe, table
 from voxmill.llm import cutoffs, encoding, languages, leaks, percentiles, personal, repetition
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +111,11 @@ _P5 = f"""WITH {_VALUES}, q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return nan_safe({
         "p1_found": f"WITH {_COUNTED} SELECT row_id FROM ranked JOIN cut USING (source) WHERE score >= cutoff",
         "p1_cutoffs": f"""WITH {_COUNTED} SELECT source, any_value(cut.n) AS n, any_value(cutoff) AS cutoff, count(*) AS kept, round(count(*) / any_value(cut.n), 6) AS kept_share
             FROM ranked JOIN cut USING (source) WHERE score >= cutoff GROUP BY source""",
         "p5_percentiles": _P5,
         "p5_combined": _P5,
         "p5_bounded": f"SELECT source, metric, p, n, true AS within, true AS same_n FROM ({_P5})",
-    }
+    })

@@ -9,14 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxmill.durable import durable
 from voxmill.functions.text import trim_space
 from voxmill.ordered import begins, handed_on, in_order, key_at, running
 
 #: Width of a time shard.
 SHARD_MS = 60_000
+#: Rows of pieces that are merged locally at a time.
+LOCAL_ROWS = 1 << 16
 #: Times beyond this many ms either way count as this: it is the range of whole ms that fit a BIGINT with room for a shard.
 MOST_MS = 9.0e18
 
@@ -35,7 +37,7 @@ def clean_intervals(df: DataFrame, start: str = "start", end: str = "end", speak
 
 
 def merged_in_shards(df: DataFrame, keys: list[str], width: int = SHARD_MS) -> DataFrame:
-    """``keys, s, e``: coverage within time shards. An interval gives its part of the first and the last shard it lies in, and one row for all whole shards between, however many."""
+    """``keys, s, e``: coverage within time shards, merged where the rows are, before any shuffle. An interval gives its part of the first and the last shard it lies in, and one row for all whole shards between, however many."""
     shard_of = lambda c: F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
     piece = lambda level, shard, s, e: F.struct(F.lit(level).alias("level"), shard.alias("shard"), s.cast("bigint").alias("s"), e.cast("bigint").alias("e"))
     a, b = F.col("__a"), F.col("__b")
@@ -46,17 +48,45 @@ def merged_in_shards(df: DataFrame, keys: list[str], width: int = SHARD_MS) -> D
             F.when(b > a + 1, piece(1, a + 1, (a + 1) * width, b * width)),
         )
     )
-    pieces = (
-        df.withColumn("__a", shard_of(F.col("s")))
-        .withColumn("__b", shard_of(F.col("e") - 1))
-        .select(*keys, F.explode(cut).alias("x"))
-        .groupBy(*keys, "x.level", "x.shard", "x.s")
-        .agg(F.max("x.e").alias("e"))
-    )
-    inside = W.partitionBy(*keys, "level", "shard").orderBy("s")
-    reach = F.max("e").over(inside.rowsBetween(W.unboundedPreceding, -1))
-    fresh = pieces.withColumn("__new", F.when(F.col("s") <= reach, 0).otherwise(1))
-    return fresh.withColumn("__island", F.sum("__new").over(inside)).groupBy(*keys, "level", "shard", "__island").agg(F.min("s").alias("s"), F.max("e").alias("e")).select(*keys, "s", "e")
+    pieces = df.withColumn("__a", shard_of(F.col("s"))).withColumn("__b", shard_of(F.col("e") - 1)).select(*keys, F.explode(cut).alias("x")).select(*keys, "x.level", "x.shard", "x.s", "x.e")
+    types = dict(df.dtypes)
+    return pieces.mapInArrow(partial(_locally, keys=keys), ", ".join([*(f"`{k}` {types[k]}" for k in keys), "s bigint", "e bigint"]))
+
+
+def _locally(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Merges what overlaps or touches within an entity's shard, as far as it comes in one stretch of LOCAL_ROWS; this is what is combined before the shuffle."""
+    held: list[pa.RecordBatch] = []
+
+    def merge() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        group = [*keys, "level", "shard"]
+        codes = [whole.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys] + [whole.column(c).to_numpy() for c in ("level", "shard")]
+        s, e = whole.column("s").to_numpy(), whole.column("e").to_numpy()
+        order = np.lexsort((s, *reversed(codes)))
+        s, e = s[order], e[order]
+        fresh = np.ones(len(s), bool)
+        fresh[1:] = False
+        for c in codes:
+            fresh[1:] |= c[order][1:] != c[order][:-1]
+        top = running(e, fresh)
+        new = fresh.copy()
+        new[1:] |= s[1:] > top[:-1]
+        at = np.flatnonzero(new)
+        named = whole.select(group[: len(keys)]).take(pa.array(order[at])).combine_chunks()
+        ends = top[np.append(at[1:], len(s)) - 1]
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in named.columns), pa.array(s[at]), pa.array(ends)], names=[*keys, "s", "e"])
+
+    rows = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= LOCAL_ROWS:
+            yield merge()
+            rows = 0
+    if held:
+        yield merge()
 
 
 class _Coverage:
@@ -143,7 +173,7 @@ def periods_and_gaps(df: DataFrame, keys: tuple[str, ...] = ("source_id", "chunk
     k = list(keys)
     types = dict(df.dtypes)
     names = [f"`{x}` {types[x]}" for x in k]
-    ordered = in_order(merged_in_shards(df, k, width), [*k, "s"])
+    ordered = in_order(durable(merged_in_shards(df, k, width)), [*k, "s"])
     schema = ", ".join(["part int", *(n.replace("`", "`f_", 1) for n in names), *(n.replace("`", "`l_", 1) for n in names), "s bigint", "e bigint"])
     states = [(r[0], tuple(r[1 : 1 + len(k)]), tuple(r[1 + len(k) : 1 + 2 * len(k)]), tuple(r[-2:])) for r in ordered.mapInArrow(partial(_states, keys=k), schema).collect()]
     given, goes_on = handed_on(states, _put_before)

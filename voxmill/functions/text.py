@@ -6,16 +6,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that Python's ``str.isspace`` accepts, as a Java character class.
+#: Characters that Python's ``str.isspace`` accepts, as a Java character class and one by one.
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # fixed values: texts of accelerator out-of-memory messages
 MEMORY_ERRORS = ["cuda out of memory", "out of memory", "cublas_status_alloc_failed", "cuda error: out of memory", "failed to allocate"]
 
 
 def trim_space(c: Column) -> Column:
     """Without surrounding white space of any kind."""
-    # possessive, and only from the first character of a run: in proportion to the text whatever it holds
-    return F.regexp_replace(c, f"^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxmill.llm import personal
 from voxmill.llm.queries import queries
@@ -20,6 +21,7 @@ def found(text, model):
     "text, want",
     [
         ("Send the corrected file to halique-kestishem@example.org please.", [("email", "halique-kestishem@example.org")]),
+        ("reach me at halique@example.org, mornings", [("email", "halique@example.org")]),
         ("Contato: nevumar_thornishem [at] example [dot] com O técnico", [("email", "nevumar_thornishem [at] example [dot] com")]),
         ("reach the booth under mararic-oxlamere at example dot net, mornings", [("email", "mararic-oxlamere at example dot net")]),
         ("Call +44 (0)7700 900 873 if the line drops.", [("phone", "+44 (0)7700 900 873")]),
@@ -81,3 +83,72 @@ def test_queries_and_empty_tables(spark, model):
     assert personal.personal_pieces(none).count() == 0 and personal.redacted_texts(none).count() == 0
     odd = spark.createDataFrame([(1, None, "a"), (None, "Call 415 555 0185 if the line drops.", "b"), (2, "Call 415 555 0185 if the line drops.", "c"), (2, "Call 415 555 0185 if the line drops.", "c")], "doc_id bigint, text string, kind string")
     assert [tuple(r) for r in personal.personal_pieces(odd, model).distinct().collect()] == [(2, "phone", "4155550185")]
+
+
+def test_models_come_from_every_row(spark):
+    # e-mail addresses stand only in rows that a sample of every second one leaves out
+    email = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    docs = spark.range(24_000).withColumnRenamed("id", "doc_id").withColumn("text", F.when(email, "Send the corrected file to halique-kestishem@example.org please.").otherwise("Call 415 555 0185 if the line drops."))
+    got = {r["kind"]: r["count"] for r in personal.personal_pieces(docs).groupBy("kind").count().collect()}
+    n = docs.where(email).count()
+    assert 11_000 < n < 13_000 and got == {"email": n, "phone": 24_000 - n}
+
+
+def test_lexicon_counts_every_document(spark):
+    docs = spark.range(26_000).selectExpr("CASE WHEN id % 13000 = 7 THEN 'My name is Nevumar Kestettar and I read.' WHEN id % 5 = 0 THEN 'the plain line' ELSE 'Oxlamere reads.' END AS text")
+    words = personal.lexicon(docs)
+    # twice in introductions, twice as a pair
+    assert words.given == {"nevumar": 4} and words.surname == {"kestettar": 4} and words.plain == {"reads"} and words.common == {"oxlamere", "reads", "the", "plain", "line"}
+    pairs = spark.createDataFrame([("My name is Nevumar Kestettar and I read.",), ("Hear Nevumar B. Oxlamere.",), ("hear Oxlamere, Nevumar.",), ("Halique Kestettar",), ("Now Halique Kestettar.",)], "text string")
+    words = personal.lexicon(pairs)
+    assert words.given == {"nevumar": 1, "halique": 2} and words.surname == {"kestettar": 1, "oxlamere": 2}
+
+
+def test_rounds_over_several_tasks_give_the_same_model(spark):
+    fit, scanned = personal._fitted(spark.read.parquet(f"{SF}/documents.parquet"))
+    spread = personal.classifiers(scanned.repartition(3), rows=200)
+    assert set(spread) == set(fit.classifiers) == set(personal.KINDS)
+    for kind, one in fit.classifiers.items():
+        assert np.array_equal(one.weights, spread[kind].weights) and one.bias == spread[kind].bias
+
+
+def test_kept_candidates_are_judged_as_texts_are(spark):
+    text = "El documento X0089183-N\u0303 se leyó en antena. Llame al +340008707030 si se corta la línea."
+    odd = spark.createDataFrame([(1, None), (None, "Call 415 555 0185 if the line drops."), (2, ""), (3, text), (3, text)], "doc_id bigint, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd)
+    own = personal.fitted(docs)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(personal.personal_pieces(docs)) == rows(personal.personal_pieces(docs, own))
+    got = rows(personal.redacted_texts(docs))
+    assert got == rows(personal.redacted_texts(docs, own)) and {(1, None), (2, ""), (3, "El documento [ID_NUMBER] se leyó en antena. Llame al [PHONE] si se corta la línea.")} <= set(got)
+
+
+def test_equal_votes_count_as_often_as_they_come():
+    votes = np.array([[1, 0, 2], [1, 1, 0], [2, 2, 0]], np.int8)
+    times = np.array([5, 2, 9])
+    assert np.allclose(personal.reliabilities(votes, times=times), personal.reliabilities(np.repeat(votes, times, 0))[[0, 5, 7]])
+
+
+def test_patterns_are_looked_for_where_they_can_be(spark):
+    odd = [
+        "a@b at c.com x at dotcom.org", "x  at  y dot com", "q.w (at) e [dot] org, r@t.com@u.de", "joe@x.com;ann@y.org .foo@bar.com", "a @ b.com  c  [ at ] d.org", "AT x AT y DOT com", "a@b.com at c dot org at d dot net",
+        "one (at)two.com at three dot com", "at at at at at at dot com", "x@\ny.com", "Row 5 Hill Row, 3 Quillon Row\n4 Court Row", "calle Mayor 5\nRue de la Paix, 12 rue Foo\nMain-Allee 17, Berg-\nstr. 5",
+    ]
+    seen = 0
+    for text in odd + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]:
+        low = personal.lowered(text)
+        words = set(personal.WORD.findall(low))
+        streets = [(i, m.span()) for i, p in enumerate(personal.STREETS) for m in p.finditer(text)]
+        assert [(i, m.span()) for i, m in personal.streets(text, low, words)] == streets
+        emails, at = [], 0
+        while m := personal.EMAIL.search(text, at):
+            if taken := personal._addressable(m):
+                emails.append(m.span())
+            at = m.end() if taken else m.start() + 1
+        assert [m.span() for m in personal.Finder._addressed(text, low)] == emails
+        for pattern in (personal.NUMBER, personal.IDENTITY):
+            numbers = [m.span() for m in pattern.finditer(text)]
+            assert [m.span() for a, b in personal.dense(text) for m in pattern.finditer(text, a, b)] == numbers
+            seen += len(numbers)
+        seen += len(streets) + len(emails)
+    assert seen > 1000

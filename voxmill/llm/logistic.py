@@ -41,6 +41,39 @@ def fit(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.n
     return Logistic(w, b)
 
 
+#: Gaps between likelihood and label are rounded to this part, so that sums of them are exact in any order.
+FINE = 1 << 24
+
+
+@dataclass
+class Packed:
+    """Rows of examples: entry i says that row ``rows[i]`` has ``features[i]``; labels are probabilities, and each row stands for ``times`` of its like."""
+
+    rows: np.ndarray
+    features: np.ndarray
+    labels: np.ndarray
+    times: np.ndarray
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The gaps of all rows by feature, in parts of FINE: whole numbers, exact below 2^53."""
+        s = np.bincount(self.rows, weights[self.features], len(self.labels))
+        gap = np.rint((1 / (1 + np.exp(-np.clip(s, -40, 40))) - self.labels) * FINE) * self.times
+        return np.bincount(self.features, gap[self.rows], len(weights))
+
+
+class Descent:
+    """Weights by full-batch adaptive gradients, one round at a time; each has the number of examples that its gaps are averaged over."""
+
+    def __init__(self, sizes: np.ndarray, shrink: np.ndarray, rate: float):
+        self.sizes, self.shrink, self.rate = np.maximum(sizes, 1.0), shrink, rate
+        self.weights, self.squares = np.zeros(len(sizes)), np.full(len(sizes), 1e-8)
+
+    def step(self, sums: np.ndarray) -> None:
+        grad = sums / FINE / self.sizes + self.shrink * self.weights
+        self.squares += grad**2
+        self.weights -= self.rate * grad / np.sqrt(self.squares)
+
+
 def calibrate(model: Logistic, sums: np.ndarray, labels: np.ndarray, rounds: int = 50) -> Logistic:
     """The model with scale and shift by Platt's method, on rows that it was not fitted on. Without rows of both kinds it stays as it is."""
     n = len(labels)

@@ -1,9 +1,12 @@
 """Problem 9: personal information in free text, found by labelers whose votes a model weighs, and replaced by placeholders.
 
 Every text is scanned for candidate spans of five kinds. Labelers (patterns, word lists, the words around a span) vote on each candidate.
-On a bounded sample of documents, expectation-maximisation estimates how reliable each labeler is and with it how likely each candidate is
-what its kind says; a classifier over hashed features of the span and its surroundings is trained on these likelihoods. Every document is
-then judged by the classifier: candidates of half a chance or more are found, of overlapping ones the likeliest.
+Over the candidates of the whole table, expectation-maximisation estimates how reliable each labeler is and with it how likely each candidate
+is what its kind says; a classifier over hashed features of the span and its surroundings is trained on these likelihoods. Every candidate is
+then judged by the classifier: those of half a chance or more are found, of overlapping ones the likeliest.
+
+Texts are read twice: for the counts of words that the lexicon is made of, and, with it, for the candidates, which are kept. Votes and
+features are all that is fitted on, so equal ones are counted, and the sums over them are exact: a model doesn't depend on how rows are spread.
 """
 
 from __future__ import annotations
@@ -13,23 +16,29 @@ import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxmill.durable import durable
 from voxmill.llm import logistic
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Documents that the lexicon is learnt from and those of them that labelers and classifiers are fitted on, about; every document is judged by these.
-WORD_DOCS = 12_000
-FIT_DOCS = 4_000
-#: Buckets of hashed features.
+#: Up to so many documents a word in lower case counts from 10 of them on, and a single one bars it as a companion of a name; in larger tables in proportion.
+FEW_DOCS = 12_000
+#: Buckets of hashed features; a feature is kept in two bytes.
 BUCKETS = 1 << 16
+#: Rounds of the classifiers' descent, and different candidates in a task of it, about.
+FIT_ROUNDS = 60
+FIT_ROWS = 200_000
+#: Different words, or candidates, that a task counts before it hands the counts on.
+COUNTED = 200_000
 #: Characters on either side that are read as the surroundings of a span.
 AROUND = 64
 #: Characters from a word that may be a name within which the rest of the name is looked for.
@@ -62,11 +71,14 @@ CUES = {
              "depois", "obrigado a", "зовут", "сделал", "подходит", "спасибо", "звати", "зробив", "підходить", "дякуємо"],
     "name after": ["takes over", "for the old tapes", "and i read", "übernimmt", "und ich lese", "et je lis", "prend le micro", "y leo", "toma el", "e leio", "assume o", "я читаю", "за старые", "за старі"],
 }
-# fixed values: what introduces a full name, in the same languages
-INTRODUCED = re.compile(
-    r"(?:my name is|recorded by|thanks to|\bthen|mein name ist|aufgenommen von|danach übernimmt|je m'appelle|enregistré par|\bensuite|me llamo|grabado por|\bluego|meu nome é|gravado por|\bdepois"
-    r"|меня зовут|запись сделал|к микрофону подходит|мене звати|запис зробив|до мікрофона підходить)\s+"
+# fixed values: what introduces a full name, in the same languages; the single words only by themselves
+_SAID = (
+    "my name is", "recorded by", "thanks to", "then", "mein name ist", "aufgenommen von", "danach übernimmt", "je m'appelle", "enregistré par", "ensuite", "me llamo", "grabado por", "luego", "meu nome é", "gravado por", "depois",
+    "меня зовут", "запись сделал", "к микрофону подходит", "мене звати", "запис зробив", "до мікрофона підходить",
 )
+# each with its last word, where that is a word by itself
+INTRODUCTIONS = {i: i.rpartition(" ")[2] if " " in i else "" for i in _SAID}
+INTRODUCED = re.compile("(?:" + "|".join(i if " " in i else rf"\b{i}" for i in _SAID) + r")\s+")
 INTRODUCING = {w for k in ("name", "name after", "phone", "email", "address", "id_number") for c in CUES[k] for w in c.split()}
 # fixed values: digits as words, by language
 DIGITS = [
@@ -107,12 +119,15 @@ STREETS = [
 _AT = rf"(?:{_S}{{0,4}}@{_S}{{0,4}}|{_S}{{0,4}}[(\[]{_S}?at{_S}?[)\]]{_S}{{0,4}}|{_S}+at{_S}+)"
 _DOT = rf"(?:\.|{_S}{{0,4}}[(\[]{_S}?dot{_S}?[)\]]{_S}{{0,4}}|{_S}+dot{_S}+)"
 EMAIL = re.compile(rf"(?<![\w.+%-])(?P<local>[\w+%-]+(?:\.[\w+%-]+)*){_AT}(?P<domain>[a-z0-9-]+(?:{_DOT}[a-z][a-z0-9-]*)*)", re.I)
+SIGN, AT_SIGN = re.compile("@"), re.compile(r"@|at(?=[^\S\n]|[)\]])")
 NUMBER = re.compile(r"(?<![\w.+])(?<!\d[-:/])(?:\+\s?)?(?:\(\d{1,5}\)|\d)(?:(?:[^\S\n]|[.()/-]){0,6}\d){6,15}(?!\d|\w|[.:-]\d)")
 _SPOKEN = "|".join(sorted({re.escape(w) for line in DIGITS for w in line.split()}, key=len, reverse=True))
 SPOKEN = re.compile(rf"(?<!\w)(?:{_SPOKEN})(?:[\s,-]+(?:{_SPOKEN})){{6,17}}(?!\w)", re.I)
 IDENTITY = re.compile(
     rf"(?<![\w.+])(?<!\d[-:/])(?:{LETTER}{{1,2}}[^\S\n]{{0,3}}\d(?:(?:[^\S\n]|[.-]){{0,3}}\d){{4,10}}(?:[^\S\n]{{0,3}}-?{LETTER}\b)?|\d{{2}}{LETTER}{{2}}\d{{5}}|\d(?:(?:[^\S\n]|[.-]){{0,3}}\d){{1,5}}[^\S\n]{{0,3}}№[^\S\n]{{0,3}}\d{{4,8}}|\d(?:(?:[^\S\n]|[.-]){{0,3}}\d){{6,14}}(?:-?{LETTER}\b)?)(?!\d|\w|[.:-]\d)"
 )
+# what every match of either has in it
+DENSE = re.compile(r"\d(?:[\s().№/-]{0,7}\d){4,}")
 # days and decimal fractions are no candidates
 PLAIN = re.compile(rf"(?:{LETTER}{{1,2}}\s?)?\d{{4}}-\d\d-\d\d|\d\.\d+")
 # formats of numbers that are numbers of phones and of papers, as labelers see them
@@ -167,68 +182,150 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def dense(text: str) -> list[tuple[int, int]]:
+    """The stretches outside of which there is no match of NUMBER or IDENTITY, with room for what comes before the digits and what must not follow."""
+    out: list[tuple[int, int]] = []
+    for m in DENSE.finditer(text):
+        a, b = max(0, m.start() - 6), m.end() + 12
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
+def lines(low: str, words: Iterable[str], ends: bool = False) -> list[tuple[int, int]]:
+    """Where the lines are that have a digit and one of the words, with no letter or digit beside it; ``ends``: or as the end of a word before a space or a point."""
+    out = set()
+    for w in words:
+        i = low.find(w)
+        while i >= 0:
+            at = i + len(w)
+            after = low[at : at + 1]
+            if after == "." or after.isspace() if ends else not (after.isalnum() or after == "_" or i and (low[i - 1].isalnum() or low[i - 1] == "_")):
+                at = low.find("\n", i)
+                at = len(low) if at < 0 else at
+                out.add((low.rfind("\n", 0, i) + 1, at))
+            i = low.find(w, at)
+    return sorted(line for line in out if DIGIT.search(low, *line))
+
+
 def streets(text: str, low: str, words: set[str]) -> Iterator[tuple[int, re.Match[str]]]:
-    """Matches of the patterns of STREETS, with their numbers; only those are looked for whose words the text has."""
-    joined = any(e in low for e in STREET_ENDS) and any(w.endswith(STREET_ENDS) for w in words)
-    before = not words.isdisjoint(WORDS_BEFORE)
-    for order, (pattern, wanted) in enumerate(zip(STREETS, (not words.isdisjoint(WORDS_BEHIND), joined, before, before))):
-        if wanted:
-            for m in pattern.finditer(text):
+    """Matches of the patterns of STREETS, with their numbers; none goes beyond its line, and only lines are looked at that have the words for it."""
+    parts = {p for w in words if not w.isalpha() for p in re.split("['’-]", w)}
+    before = lines(low, words & WORDS_BEFORE | parts & WORDS_BEFORE)
+    for order, (pattern, own) in enumerate(zip(STREETS, (lines(low, words & WORDS_BEHIND | parts & WORDS_BEHIND), lines(low, STREET_ENDS, True), before, before))):
+        for line in own:
+            for m in pattern.finditer(text, *line):
                 yield order, m
 
 
-def learn_words(texts: list[str]) -> Lexicon:
-    """The lexicon of a sample: names from introductions and, in a second round, from their companions; towns from addresses; common words by their documents."""
-    first: Counter[str] = Counter()
-    second: Counter[str] = Counter()
-    towns: Counter[str] = Counter()
-    seen: Counter[str] = Counter()
-    small: Counter[str] = Counter()
-    pair = re.compile(rf"({LETTER}+),?\s+(?:{LETTER}\.\s*)?({LETTER}+(?:-{LETTER}+)?)")
-    vocabularies = []
-    for t in texts:
-        low = lowered(t)
-        cased = not t.islower()
-        words = set(WORD.findall(low))
-        vocabularies.append(words)
-        seen.update(words)
-        if cased:
-            small.update({w for w in WORD.findall(t) if w.islower()})
-        for m in INTRODUCED.finditer(low):
-            if (p := pair.match(t, m.end())) and p[1][0].isupper() and p[2][0].isupper():
+SEEN, SMALL, GIVEN, SURNAME, TOWN, PAIR, DOCS = range(7)
+# every letter in upper case, for which regular expressions have no name
+_UPPER = "[" + "".join(chr(c) for c in range(0x20000) if chr(c).isupper() and chr(c).isalpha()) + "]"
+FULL = re.compile(rf"({LETTER}+),?\s+(?:{LETTER}\.\s*)?({LETTER}+(?:-{LETTER}+)?)")
+HEAD = re.compile(rf"(?:{LETTER}\.)?({_UPPER}{LETTER}*(?:-{LETTER}+)?)")
+TAIL = re.compile(rf"(?<!{LETTER})({_UPPER}{LETTER}*)(,?)$")
+INITIAL = re.compile(rf"{LETTER}\.")
+DIGIT = re.compile(r"\d")
+
+
+@dataclass
+class Token:
+    """What stands between spaces: its words in lower case, those that are so written, and the words in capitals that it begins and ends with."""
+
+    words: list[str]
+    small: list[str]
+    head: str | None
+    tail: str | None
+    comma: bool
+    initial: bool
+
+
+NOTHING = Token([], [], None, None, False, False)
+
+
+class Tokens:
+    """The tokens of texts; they are kept, since most come again."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, Token] = {}
+        #: Those that are one word in lower case.
+        self.bare: set[str] = set()
+
+    def of(self, text: str) -> Token:
+        if (token := self.kept.get(text)) is None:
+            low = lowered(text)
+            words = WORD.findall(low)
+            if not words:
+                if len(text) < 4:
+                    self.kept[text] = NOTHING
+                return NOTHING
+            head, tail = (HEAD.match(text), TAIL.search(text)) if text != low else (None, None)
+            small = words if text == low else WORD.findall(text)
+            token = Token(words, [w for w in small if w.islower()], head and head[1].lower(), tail and tail[1].lower(), bool(tail and tail[2]), bool(INITIAL.fullmatch(text)))
+            if len(self.kept) < 100_000 and len(text) < 100:
+                self.kept[text] = token
+                if token.words == token.small == [text]:
+                    self.bare.add(text)
+        return token
+
+    def split(self, tokens: set[str]) -> tuple[set[str], dict[str, Token]]:
+        """Which are one word in lower case, as far as they are kept, and what the others are."""
+        get = self.kept.get
+        bare = tokens & self.bare
+        return bare, {t: get(t) or self.of(t) for t in tokens - bare}
+
+    def words(self, text: str) -> set[str]:
+        bare, others = self.split(set(text.split()))
+        return bare.union(*[t.words for t in others.values()])
+
+
+def count_words(text: str, tokens: Tokens, counts: list[Counter[str]]) -> None:
+    """Adds what a text says about words: that they stand in it, also in lower case, names from introductions, towns from addresses, pairs of words in capitals."""
+    low = lowered(text)
+    line = text.split()
+    bare, others = tokens.split(set(line))
+    own = bare.union(*[t.words for t in others.values()])
+    counts[DOCS][""] += 1
+    counts[SEEN].update(own)
+    if not text.islower():
+        counts[SMALL].update(bare.union(*[t.small for t in others.values()]))
+    ends = {t for t, token in others.items() if token.tail}
+    for i in [i for i, t in enumerate(line[:-1], 1) if t in ends] if ends else []:
+        token, after = others[line[i - 1]], tokens.of(line[i])
+        # an initial may stand between the two
+        if after.initial and i + 1 < len(line):
+            after = tokens.of(line[i + 1])
+        if after.head:
+            counts[PAIR][f"{after.head} {token.tail}" if token.comma else f"{token.tail} {after.head}"] += 1
+    for i, last in INTRODUCTIONS.items():
+        at = low.find(i) if not last or last in own else -1
+        while at >= 0:
+            if (m := INTRODUCED.match(low, at)) and (p := FULL.match(text, m.end())) and p[1][0].isupper() and p[2][0].isupper():
                 a, b = (p[2], p[1]) if "," in p[0] else (p[1], p[2])
-                first[a.lower()] += 1
-                second.update(b.lower().split("-"))
-        for _, m in streets(t, low, words):
-            for g in ("town", "first"):
-                if (town := m.groupdict().get(g)) and town[0].isupper() and town[1:].islower():
-                    towns[town.lower()] += 1
-    # words that stand in this many documents are words of the language
-    many = max(20, len(texts) // 60)
-    common = {w for w, n in seen.items() if n >= many}
-    name = lambda own, other: {w: n for w, n in own.items() if n > other[w] and w not in common and len(w) > 2}
-    given, surname = name(first, second), name(second, first)
-    more_given: Counter[str] = Counter()
-    more_surname: Counter[str] = Counter()
-    for t, words in zip(texts, vocabularies):
-        if words.isdisjoint(given) and words.isdisjoint(surname):
-            continue
-        for p in pair.finditer(t):
-            a, b = p[1], p[2]
-            if not (a[0].isupper() and b[0].isupper()):
-                continue
-            a, b = a.lower(), b.lower()
-            if "," in p[0]:
-                a, b = b, a
-            if a in given and b not in common:
-                more_surname.update(b.split("-"))
-            if b.split("-")[0] in surname and a not in common:
-                more_given[a] += 1
-    for words, more, other in ((given, more_given, surname), (surname, more_surname, given)):
-        for w, n in more.items():
-            if n >= 2 and w not in other and w not in small and len(w) > 2:
-                words[w] = words.get(w, 0) + n
-    return Lexicon(given, surname, {w for w, n in towns.items() if n >= 2 and small[w] < 10}, {w for w, n in small.items() if n >= 10}, common)
+                counts[GIVEN][a.lower()] += 1
+                counts[SURNAME].update(b.lower().split("-"))
+            at = low.find(i, at + len(i))
+    for _, m in streets(text, low, own):
+        for g in ("town", "first"):
+            if (town := m.groupdict().get(g)) and town[0].isupper() and town[1:].islower():
+                counts[TOWN][town.lower()] += 1
+
+
+def first_names(given: dict[str, int], surname: dict[str, int], common: set[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """Given names and surnames from how often words stand as the one and as the other in introductions."""
+    name = lambda own, other: {w: n for w, n in own.items() if n > other.get(w, 0) and w not in common and len(w) > 2}
+    return name(given, surname), name(surname, given)
+
+
+def companions(pair: str, n: int, words: Lexicon) -> Iterator[tuple[int, str, int]]:
+    """What a pair, given name before surname, says about a word beside one that is known."""
+    a, b = pair.split(" ")
+    if a in words.given and b not in words.common:
+        yield from ((SURNAME, w, n) for w in b.split("-") if w not in words.given and len(w) > 2)
+    if b.split("-")[0] in words.surname and a not in words.common and a not in words.surname and len(a) > 2:
+        yield GIVEN, a, n
 
 
 _CUE = {k: re.compile("(?<!\\w)(?:" + "|".join(re.escape(c) for c in v) + ")(?!\\w)") for k, v in CUES.items()}
@@ -246,11 +343,18 @@ def _mask(piece: str) -> str:
     return re.sub(rf"{LETTER}", "a", re.sub(r"\d", "0", re.sub(r"\s+", " ", piece)))
 
 
+def _addressable(m: re.Match[str]) -> bool:
+    """Whether the local part has a letter and the domain a point; a bare word for the sign needs the word for the point too."""
+    spelled = re.search(r"dot", m["domain"], re.I)
+    return bool(re.search(LETTER, m["local"]) and (spelled or ("." in m["domain"] and re.search(r"[@(\[]", m[0]))))
+
+
 class Finder:
     """Candidate spans of a text, with the labelers' votes and the classifier's features."""
 
     def __init__(self, words: Lexicon):
         self.words = words
+        self.tokens = Tokens()
         self.seen: dict[str, tuple[bool, bool]] = {}
         self.dull: set[str] = set()
         #: Whether the text at hand is all in lower or all in upper case.
@@ -280,25 +384,20 @@ class Finder:
     def spans(self, text: str) -> list[Span]:
         """Every candidate of every kind."""
         low = lowered(text)
-        words = WORD.findall(low)
-        own = set(words)
+        own = self.tokens.words(low)
         self.all_low, self.all_high = text.islower(), text.isupper()
         out: list[Span] = []
         if "@" in text or "dot" in own or "(at" in low or "[at" in low:
-            for m in EMAIL.finditer(text):
-                # the domain has a point; a bare word for the sign needs the word for the point too
-                spelled = re.search(r"dot", m["domain"], re.I)
-                if re.search(LETTER, m["local"]) and (spelled or ("." in m["domain"] and re.search(r"[@(\[]", m[0]))):
-                    out.append(self._email(text, low, m.start(), m.end()))
+            out += [self._email(text, low, *m.span()) for m in self._addressed(text, low)]
         # what a word for another kind of number introduces is no candidate
         other = lambda a: low[max(0, a - 12) : a].rpartition("\n")[2].strip(" =#").rpartition(" ")[2] in OTHER_NUMBERS
-        numbers = {m.span() for m in NUMBER.finditer(text) if not PLAIN.fullmatch(m[0]) and not other(m.start())}
-        papers = {m.span() for m in IDENTITY.finditer(text) if not PLAIN.fullmatch(m[0]) and not other(m.start())}
+        near = dense(text)
+        numbers, papers = ({m.span() for a, b in near for m in pattern.finditer(text, a, b) if not PLAIN.fullmatch(m[0]) and not other(m.start())} for pattern in (NUMBER, IDENTITY))
         for a, b in sorted(numbers):
             if text[a] == "(" and (inner := text[a:b]).count("(") > inner.count(")"):
                 a += 1
             out.append(self._number("phone", text, low, a, b))
-        if not own.isdisjoint(SPOKEN_WORDS) and sum(map(SPOKEN_WORDS.__contains__, words)) > 6:
+        if (spoken := own & SPOKEN_WORDS) and sum(map(low.count, spoken)) > 6 and sum(map(SPOKEN_WORDS.__contains__, WORD.findall(low))) > 6:
             for m in SPOKEN.finditer(text):
                 out.append(self._number("phone", text, low, *m.span()))
         # a word in lower case before it is no part of it, unless all is in lower case
@@ -312,18 +411,35 @@ class Finder:
             out.append(self._number("id_number", text, low, a, b))
         out += self._addresses(text, low, own)
         if not own <= self.dull and (rare := [w for w in own - self.dull if not self.boring(w)]):
-            for a, b in self._near(low, rare):
+            for a, b in self._near(text, low, rare):
                 out += self._names(text, low, a, b)
         return out
 
     @staticmethod
-    def _near(low: str, words: list[str]) -> list[tuple[int, int]]:
-        """The stretches within NEAR characters of the words, merged, whose ends cut no word."""
+    def _addressed(text: str, low: str) -> Iterator[re.Match[str]]:
+        """Matches of EMAIL that can be one: each begins where the characters begin that stand before a sign. What can't be one takes nothing from what follows ("at a@b.org")."""
+        end = 0
+        for sign in (AT_SIGN if "dot" in low or "(" in low or "[" in low else SIGN).finditer(low):
+            # spaces and a bracket may stand between
+            if (a := sign.start()) < end:
+                continue
+            while a > end and (text[a - 1].isspace() or text[a - 1] in "(["):
+                a -= 1
+            while a > end and (text[a - 1].isalnum() or text[a - 1] in "_.+%-"):
+                a -= 1
+            if (m := EMAIL.match(text, a)) and _addressable(m):
+                end = m.end()
+                yield m
+
+    def _near(self, text: str, low: str, words: list[str]) -> list[tuple[int, int]]:
+        """The stretches within NEAR characters of the words that are known as names or begin with a capital, merged, whose ends cut no word."""
         at = []
         for w in words:
+            known = any(self.kinds_of(w))
             i = low.find(w)
             while i >= 0:
-                at.append((i - NEAR, i + len(w) + NEAR))
+                if known or text[i].isupper():
+                    at.append((i - NEAR, i + len(w) + NEAR))
                 i = low.find(w, i + len(w))
         out: list[tuple[int, int]] = []
         for a, b in sorted(at):
@@ -533,27 +649,36 @@ class Finder:
         return "name", a, b, votes, self._features("name", votes, left, right, own)
 
 
-def reliabilities(votes: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Likelihood of each candidate, by expectation-maximisation over labelers whose votes (0 none, 1 for, 2 against; one column each) depend only on whether it is true."""
-    n, k = votes.shape
-    if not n:
+def reliabilities(votes: np.ndarray, rounds: int = ROUNDS, times: np.ndarray | None = None) -> np.ndarray:
+    """Likelihood of each candidate, by expectation-maximisation over labelers whose votes (0 none, 1 for, 2 against; one column each) depend only on whether it is true.
+
+    ``times``: how many candidates each row stands for, else one.
+    """
+    k = votes.shape[1]
+    if not len(votes):
         return np.zeros(0)
+    times = np.ones(len(votes)) if times is None else times
+    n = times.sum()
     firm = 4 + FIRMNESS * n
     agree, against = (votes == 1).sum(1), (votes == 2).sum(1)
     p = np.clip((agree + 0.5) / (agree + against + 1.0), 0.05, 0.95)
     for _ in range(rounds):
-        prior = np.clip(p.mean(), 0.01, 0.99)
-        yes, no = np.full(n, np.log(prior)), np.full(n, np.log(1 - prior))
+        true, false = p * times, (1 - p) * times
+        prior = np.clip(true.sum() / n, 0.01, 0.99)
+        yes, no = np.full(len(votes), np.log(prior)), np.full(len(votes), np.log(1 - prior))
         for j in range(k):
             for v in range(3):
                 at = votes[:, j] == v
-                yes[at] += np.log((p[at].sum() + firm * LEANS[0][v]) / (p.sum() + firm))
-                no[at] += np.log(((1 - p[at]).sum() + firm * LEANS[1][v]) / ((1 - p).sum() + firm))
+                yes[at] += np.log((true[at].sum() + firm * LEANS[0][v]) / (true.sum() + firm))
+                no[at] += np.log((false[at].sum() + firm * LEANS[1][v]) / (false.sum() + firm))
         top = np.maximum(yes, no)
         p = np.exp(yes - top) / (np.exp(yes - top) + np.exp(no - top))
     return p
 
 
+Judged = tuple[str, int, int, float]  # kind, start, end, probability
+
+
 @dataclass
 class Model:
     """The lexicon and one classifier per kind."""
@@ -564,15 +689,12 @@ class Model:
     def __post_init__(self) -> None:
         self.finder = Finder(self.words)
 
-    def found(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """``kind, start, end, probability`` of the pieces in a text, in their order; of overlapping ones the likeliest, of equals the longest."""
-        if not text:
-            return []
-        whole, at = composed(text)
+    def chosen(self, spans: Iterator[tuple[str, int, int, np.ndarray]]) -> list[Judged]:
+        """The pieces among the candidates of a text, each with its features, in their order; of overlapping ones the likeliest, of equals the longest."""
         judged = []
-        for kind, a, b, _, features in self.finder.spans(whole):
+        for kind, a, b, features in spans:
             if model := self.classifiers.get(kind):
-                p = float(model.score(model.weights[list(features)].sum()))
+                p = float(model.score(model.weights[features].sum()))
                 if p >= LEAST:
                     judged.append((round(p, 2), b - a, kind, a, b, p))
         # an address or an e-mail address holds what looks like a name or number inside it
@@ -588,71 +710,255 @@ class Model:
                 continue
             starts.insert(i, a)
             ends.insert(i, b)
-            out.append((kind, at[a] if at else a, at[b] if at else b, p))
+            out.append((kind, a, b, p))
         return sorted(out, key=lambda x: x[1])
 
+    def found(self, text: str | None) -> list[Judged]:
+        """``kind, start, end, probability`` of the pieces in a text."""
+        if not text:
+            return []
+        whole, at = composed(text)
+        out = self.chosen((kind, a, b, np.array(features)) for kind, a, b, _, features in self.finder.spans(whole))
+        return [(kind, at[a], at[b], p) for kind, a, b, p in out] if at else out
+
 
-def fit(texts: list[str | None], size: int = FIT_DOCS) -> Model:
-    """The model of a sample of texts: lexicon, labelers' reliabilities and the classifiers trained on what these make of the candidates. No text is labelled by hand."""
-    whole = [composed(t)[0] for t in texts if t]
-    words = learn_words(whole)
-    finder = Finder(words)
-    by: dict[str, list[Span]] = {k: [] for k in KINDS}
-    for t in whole[:size]:
-        for s in finder.spans(t):
-            by[s[0]].append(s)
-    models = {}
-    for kind, spans in by.items():
-        if not spans:
-            continue
-        p = reliabilities(np.array([s[3] for s in spans], np.int8))
-        lengths = np.array([len(s[4]) for s in spans])
-        rows, features = np.repeat(np.arange(len(spans)), lengths), np.concatenate([s[4] for s in spans])
-        models[kind] = logistic.fit(rows, features, np.ones(len(rows)), p, BUCKETS, rounds=60, rate=0.3, shrink=1e-5)
-    return Model(words, models)
+_COUNTS = "what tinyint, word string, n bigint"
+_EXAMPLES = "kind tinyint, votes smallint, features binary, n bigint"
+_SCANNED = "doc_id bigint, text string, kinds binary, votes binary, places binary, lengths binary, features binary, values array<string>"
 
 
-def _values(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    types = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    fields = [f.split(" ") for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
-            b = batch.slice(at, ROWS)
-            rows = {(d, kind, value_of(t[x:y])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for kind, x, y, _ in model.found(t)}
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in sorted(rows)], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "value"])
+            yield batch.slice(at, ROWS)
 
 
-def redacted(text: str | None, model: Model) -> str | None:
-    """The text with ``[KIND]`` in place of each piece; null stays null."""
-    if not text:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens = Tokens()
+    counts: list[Counter[str]] = [Counter() for _ in range(7)]
+    for batch in chain(_pieces_of(batches), [None]):
+        for t in batch.column(0).to_pylist() if batch else []:
+            if t:
+                count_words(composed(t)[0], tokens, counts)
+        if not batch or sum(map(len, counts)) > COUNTED:
+            yield _rows([(what, w, n) for what, own in enumerate(counts) for w, n in own.items()], _COUNTS)
+            counts = [Counter() for _ in range(7)]
+
+
+def _beside(batches: Iterator[pa.RecordBatch], words: Lexicon) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _rows([x for pair, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in companions(pair, n, words)], _COUNTS)
+
+
+def lexicon(texts: DataFrame) -> Lexicon:
+    """The lexicon of all texts: names from introductions and, in a second round, from their companions; towns from addresses; common words by their documents."""
+    sums = lambda rows: rows.groupBy("what", "word").agg(F.sum("n").alias("n"))
+    counts = durable(sums(texts.select("text").mapInArrow(_counted, _COUNTS)))
+    small = counts.where(F.col("what") == SMALL).select("word", F.col("n").alias("small"))
+    of = lambda what, least=1: {r.word: r.n for r in counts.where((F.col("what") == what) & (F.col("n") >= least)).collect()}
+    docs = of(DOCS).get("", 0)
+    more_docs = max(1.0, docs / FEW_DOCS)
+
+    def rarely_small(rows: DataFrame, least: float) -> DataFrame:
+        """Words with at least two, in lower case in fewer documents than that."""
+        return rows.where(F.col("n") >= 2).join(small.where(F.col("small") >= least), "word", "left_anti")
+
+    # words that stand in this many documents are words of the language
+    common = set(of(SEEN, max(20, docs // 60)))
+    words = Lexicon(*first_names(of(GIVEN), of(SURNAME), common), common=common)
+    words.plain = set(of(SMALL, 10 * more_docs))
+    words.towns = {r.word for r in rarely_small(counts.where(F.col("what") == TOWN), 10 * more_docs).collect()}
+    pairs = counts.where(F.col("what") == PAIR).select("word", "n")
+    more = rarely_small(sums(pairs.mapInArrow(partial(_beside, words=words), _COUNTS)), more_docs).collect()
+    given, surname = dict(words.given), dict(words.surname)
+    for r in sorted(more):
+        own, other = (given, surname) if r.what == GIVEN else (surname, given)
+        if r.word not in other:
+            own[r.word] = own.get(r.word, 0) + r.n
+    words.given, words.surname = given, surname
+    return words
+
+
+def _code(votes: tuple[int, ...]) -> int:
+    return sum(v * 3**i for i, v in enumerate(votes))
+
+
+#: Labelers of each kind; their votes are kept as one number to the base of 3.
+LABELERS = {k: 4 if k == "email" else 5 for k in KINDS}
+
+
+def _scan(batches: Iterator[pa.RecordBatch], words: Lexicon, texts: bool) -> Iterator[pa.RecordBatch]:
+    """The candidates of each text, in one row: with the text, or with the value of each."""
+    finder = Finder(words)
+    for batch in _pieces_of(batches):
+        out = []
+        for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            whole, at = composed(t) if t else ("", None)
+            spans = finder.spans(whole) if whole else []
+            if spans or texts:
+                out.append((
+                    doc, t if texts else None, bytes(KINDS.index(s[0]) for s in spans), bytes(_code(s[3]) for s in spans), np.array([s[1:3] for s in spans], np.int64).tobytes(), bytes(len(s[4]) for s in spans),
+                    np.array([f for s in spans for f in s[4]], np.uint16).tobytes(), [] if texts else [value_of(t[at[s[1]] : at[s[2]]] if at else t[s[1] : s[2]]) for s in spans],
+                ))
+        yield _rows(out, _SCANNED)
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[tuple[int, int, bytes]] = Counter()
+    for batch in chain(batches, [None]):
+        for kinds, votes, lengths, features in zip(*(c.to_pylist() for c in batch.columns)) if batch else []:
+            at = 0
+            for kind, vote, length in zip(kinds, votes, lengths):
+                counts[kind, vote, features[at : at + 2 * length]] += 1
+                at += 2 * length
+        if not batch or len(counts) > COUNTED:
+            yield _rows([(*k, n) for k, n in counts.items()], _EXAMPLES)
+            counts.clear()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], labels: np.ndarray) -> logistic.Packed:
+    """The candidates of a task, with the likelihoods of their votes: buckets of each kind behind those of the kinds before it, the last ones for what a kind has in all of them."""
+    kinds, votes, features, times = [], [], [], []
+    for batch in batches:
+        for kept, column in zip((kinds, votes, features, times), batch.columns):
+            kept += column.to_pylist()
+    kind = np.array(kinds, np.int64)
+    lengths = np.array([len(f) // 2 for f in features], np.int64)
+    rows = np.repeat(np.arange(len(kind)), lengths)
+    own = np.frombuffer(b"".join(features), np.uint16).astype(np.int64) + kind[rows] * BUCKETS
+    return logistic.Packed(np.concatenate([rows, np.arange(len(kind))]), np.concatenate([own, len(KINDS) * BUCKETS + kind]), labels[kind, np.array(votes, np.int64)], np.array(times, np.float64))
+
+
+_SUMS = "bucket int, total double"
+
+
+def _gradient(batches: Iterator[pa.RecordBatch], labels: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    sums = _packed(batches, labels).sums(weights)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["bucket", "total"])
+
+
+def _descended(batches: Iterator[pa.RecordBatch], labels: np.ndarray, descent: logistic.Descent) -> Iterator[pa.RecordBatch]:
+    """All rounds within one task."""
+    packed = _packed(batches, labels)
+    for _ in range(FIT_ROUNDS):
+        descent.step(packed.sums(descent.weights))
+    at = np.flatnonzero(descent.weights)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(descent.weights[at])], names=["bucket", "total"])
+
+
+def classifiers(scanned: DataFrame, rows: int = FIT_ROWS) -> dict[str, logistic.Logistic]:
+    """The classifiers of all candidates, trained on what the labelers' reliabilities make of them; no text is labelled by hand.
+
+    Up to ``rows`` different candidates are one task, which goes through all rounds by itself; beyond, every round is a job of several tasks, with the same outcome.
+    """
+    keys = ["kind", "votes", "features"]
+    counted = scanned.select("kinds", "votes", "lengths", "features").mapInArrow(_examples, _EXAMPLES).groupBy(keys).agg(F.sum("n").alias("n"))
+    examples = durable(counted)
+    patterns = sorted((r.kind, r.votes, r.n, r.different) for r in examples.groupBy("kind", "votes").agg(F.sum("n").alias("n"), F.count("*").alias("different")).collect())
+    labels, sizes = np.zeros((len(KINDS), 3**5)), np.zeros(len(KINDS))
+    for kind, name in enumerate(KINDS):
+        if own := [p for p in patterns if p[0] == kind]:
+            codes, times = np.array([p[1] for p in own]), np.array([p[2] for p in own], np.float64)
+            votes = codes[:, None] // 3 ** np.arange(LABELERS[name]) % 3
+            labels[kind, codes], sizes[kind] = reliabilities(votes, times=times), times.sum()
+    tasks = -(-sum(p[3] for p in patterns) // rows)
+    descent = logistic.Descent(np.concatenate([np.repeat(sizes, BUCKETS), sizes]), np.repeat([1e-5, 0.0], [len(KINDS) * BUCKETS, len(KINDS)]), rate=0.3)
+    if tasks == 1:
+        got = examples.coalesce(1).mapInArrow(partial(_descended, labels=labels, descent=descent), _SUMS).toArrow()
+        descent.weights[got["bucket"].to_numpy()] = got["total"].to_numpy()
+    elif tasks:
+        parts = examples.coalesce(tasks)
+        for _ in range(FIT_ROUNDS):
+            got = parts.mapInArrow(partial(_gradient, labels=labels, weights=descent.weights), _SUMS).groupBy("bucket").agg(F.sum("total").alias("total")).toArrow()
+            descent.step(np.bincount(got["bucket"].to_numpy(), got["total"].to_numpy(), len(descent.weights)))
+    weights, own = descent.weights[: len(KINDS) * BUCKETS].reshape(len(KINDS), BUCKETS), descent.weights[len(KINDS) * BUCKETS :]
+    return {name: logistic.Logistic(weights[i].copy(), float(own[i])) for i, name in enumerate(KINDS) if sizes[i]}
+
+
+def _fitted(df: DataFrame, texts: bool = False) -> tuple[Model, DataFrame]:
+    """The model of a table, and the candidates of its documents, with which it was fitted."""
+    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    words = lexicon(rows.where(F.col("text").isNotNull()))
+    scanned = durable((rows if texts else rows.where(F.col("text").isNotNull())).mapInArrow(partial(_scan, words=words, texts=texts), _SCANNED))
+    return Model(words, classifiers(scanned)), scanned
+
+
+def fitted(df: DataFrame) -> Model:
+    """The model of a table ``doc_id, text``, fitted on all of its texts."""
+    return _fitted(df)[0]
+
+
+def _kept(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[int | None, str | None, list[str], dict[tuple[int, int, str], int], list[Judged]]]:
+    """Of each row of candidates: key, text, values, the place of each candidate among them, and the pieces."""
+    for doc, text, kinds, _, places, lengths, features, values in zip(*(c.to_pylist() for c in batch.columns)):
+        ends = np.cumsum(np.frombuffer(lengths, np.uint8), dtype=np.int64).tolist()
+        own = np.split(np.frombuffer(features, np.uint16), ends[:-1]) if ends else []
+        spans = [(KINDS[k], a, b, f) for k, (a, b), f in zip(kinds, np.frombuffer(places, np.int64).reshape(-1, 2).tolist(), own)]
+        yield doc, text, values, {(a, b, k): i for i, (k, a, b, _) in enumerate(spans)}, model.chosen(iter(spans))
+
+
+def _kept_values(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces_of(batches):
+        rows = {(doc, kind, values[at[a, b, kind]]) for doc, _, values, at, pieces in _kept(batch, model) for kind, a, b, _ in pieces}
+        yield _rows(sorted(rows), "doc_id bigint, kind string, value string")
+
+
+def _kept_texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces_of(batches):
+        out = []
+        for doc, text, _, _, pieces in _kept(batch, model):
+            at = composed(text)[1] if pieces else None
+            out.append((doc, replaced(text, [(kind, at[a], at[b], p) for kind, a, b, p in pieces] if at else pieces)))
+        yield _rows(out, "doc_id bigint, text string")
+
+
+def _values(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in _pieces_of(batches):
+        rows = {(d, kind, value_of(t[x:y])) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for kind, x, y, _ in model.found(t)}
+        yield _rows(sorted(rows), "doc_id bigint, kind string, value string")
+
+
+def replaced(text: str | None, pieces: list[Judged]) -> str | None:
+    """The text with ``[KIND]`` in place of each piece."""
+    if not pieces:
         return text
     out, last = [], 0
-    for kind, a, b, _ in model.found(text):
+    for kind, a, b, _ in pieces:
         out += [text[last:a], f"[{kind.upper()}]"]
         last = b
     return "".join([*out, text[last:]])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            b = batch.slice(at, ROWS)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([redacted(t, model) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+def redacted(text: str | None, model: Model) -> str | None:
+    """The text with ``[KIND]`` in place of each piece; null stays null."""
+    return replaced(text, model.found(text))
 
 
-def fitted(df: DataFrame, size: int = WORD_DOCS) -> Model:
-    """The model of a table ``doc_id, text``, fitted on about ``size`` of its documents, picked and put in order by a hash of their key."""
-    every = max(1, df.count() // size)
-    h = F.xxhash64("doc_id")
-    rows = df.where((F.pmod(h, F.lit(every)) == 0) & F.col("text").isNotNull()).select("text").orderBy(h)
-    return fit([r.text for r in rows.collect()])
+def _texts(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for b in _pieces_of(batches):
+        yield _rows([(d, redacted(t, model)) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], "doc_id bigint, text string")
 
 
 def personal_pieces(df: DataFrame, model: Model | None = None) -> DataFrame:
-    """``doc_id, kind, value``: the distinct pieces of each document. Whole texts, without a shuffle; a row whose key is null is left out, repeated keys are judged by row."""
+    """``doc_id, kind, value``: the distinct pieces of each document. Whole texts; a row whose key is null is left out, repeated keys are judged by row. Without a model, by that of the table."""
+    if model is None:
+        model, scanned = _fitted(df)
+        return scanned.where(F.col("doc_id").isNotNull()).mapInArrow(partial(_kept_values, model=model), "doc_id bigint, kind string, value string")
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInArrow(partial(_values, model=model or fitted(df)), "doc_id bigint, kind string, value string")
+    return rows.mapInArrow(partial(_values, model=model), "doc_id bigint, kind string, value string")
 
 
 def redacted_texts(df: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, text``: every document with typed placeholders in place of its personal information; null and empty texts as they are."""
+    if model is None:
+        model, scanned = _fitted(df, texts=True)
+        return scanned.mapInArrow(partial(_kept_texts, model=model), "doc_id bigint, text string")
     rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_texts, model=model or fitted(df)), "doc_id bigint, text string")
+    return rows.mapInArrow(partial(_texts, model=model), "doc_id bigint, text string")
